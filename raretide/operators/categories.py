@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raretide.functions.scalars import capped_ratio
+from raretide.operators.moments import sum_cells
 from raretide.operators.windows import WINDOW
 
 CATEGORIES = ("city", "country", "description")
 N_CLUSTERS = 3
 SEED, STARTS = 42, 10
-POINTS_PER_TASK = 100_000
+SKETCH_POINTS, MAX_PASSES = 100, 60
 
 
 def risk_ratio(positives: Column, rows: Column) -> Column:
@@ -46,29 +45,61 @@ def one_hot(df: DataFrame, column: str, levels: int, drop_first: bool = False) -
     return df.withColumns(flags).drop(column)
 
 
-def cluster_bounds(scaled: DataFrame, column: str, k: int = N_CLUSTERS) -> list[float]:
-    """k-means centres of one column, ascending. ``STARTS`` seeded fits, the one of least cost wins.
+def _lloyd_sums(centres: dict[tuple[int, int], np.ndarray]):
+    """Per block of (group, value, weight): weight, sum and sum of squares per (group, start, cluster)."""
 
-    Equal values are merged into one weighted point first, so the fit sees at most one row per value.
-    """
-    points = scaled.groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    vectors = VectorAssembler(inputCols=[column], outputCol="features").transform(points).select("features", "w")
-    vectors = vectors.persist()
-    try:
-        distinct = vectors.count()
-        if distinct <= k:
-            return sorted(float(r["features"][0]) for r in vectors.collect())
+    def of_block(rows: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for (group, _), c in sorted(centres.items()):
+            here = rows[rows[:, 0] == group]
+            x, w = here[:, 1], here[:, 2]
+            at = np.searchsorted((c[1:] + c[:-1]) / 2, x, side="left")
+            out.append(np.concatenate([np.bincount(at, weights=v, minlength=c.size) for v in (w, w * x, w * x * x)]))
+        return out
 
-        vectors = vectors.coalesce(distinct // POINTS_PER_TASK + 1).persist()
+    return of_block
 
-        def start(i: int):
-            model = KMeans(k=k, seed=SEED + i, weightCol="w", maxIter=50, tol=1e-6).fit(vectors)
-            return model.summary.trainingCost, sorted(float(c[0]) for c in model.clusterCenters())
 
-        with ThreadPoolExecutor(STARTS) as pool:
-            return min(pool.map(start, range(STARTS)))[1]
-    finally:
-        vectors.unpersist()
+def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS) -> list[list[float]]:
+    """Ascending k-means centres per group of ``points`` (group, value, weight).
+
+    ``STARTS`` seeded starts per group, the one of least cost wins. All groups and starts share each pass
+    over the points: a Lloyd step sums weights and values per cluster on the executors, and only those sums
+    come back. Starting centres are drawn from a quantile sketch, far ones with higher probability.
+    """
+    shares = [i / SKETCH_POINTS for i in range(SKETCH_POINTS + 1)]
+    sketch = points.groupBy("group").agg(F.percentile_approx("value", shares, 20 * SKETCH_POINTS).alias("q"))
+    drawn = {int(r["group"]): np.unique(r["q"]) for r in sketch.collect()}
+    centres: dict[tuple[int, int], np.ndarray] = {}
+    for group, values in drawn.items():
+        for start in range(STARTS):
+            rng = np.random.default_rng(SEED + start)
+            chosen = [rng.choice(values)]
+            while len(chosen) < min(k, values.size):
+                gap = np.min(np.abs(values[:, None] - np.array(chosen)[None, :]), axis=1) ** 2
+                chosen.append(rng.choice(values, p=gap / gap.sum()))
+            centres[group, start] = np.sort(chosen)
+
+    active, cost = dict(centres), {}
+    for _ in range(MAX_PASSES):
+        sums = sum_cells(points, _lloyd_sums(active))
+        moved = {}
+        for i, key in enumerate(sorted(active)):
+            w, wx, wxx = sums[i].reshape(3, -1)
+            c = active[key]
+            new = np.sort(np.where(w > 0, wx / np.where(w > 0, w, 1.0), c))
+            cost[key] = float(np.sum(wxx - 2 * c * wx + c * c * w))
+            centres[key] = new
+            if np.max(np.abs(new - c)) > 1e-12:
+                moved[key] = new
+        active = moved
+        if not active:
+            break
+    best = []
+    for group in range(groups):
+        starts = [(cost[group, s], tuple(centres[group, s])) for s in range(STARTS) if (group, s) in cost]
+        best.append(sorted(min(starts)[1]) if starts else [])
+    return best
 
 
 def nearest_centre(value: Column, centres: Sequence[float]) -> Column:
@@ -100,20 +131,19 @@ def risk_of_cells(cells: DataFrame) -> DataFrame:
 
 def assign_clusters(risk: DataFrame, categories: Sequence[str], k: int = N_CLUSTERS) -> DataFrame:
     """category, value, cluster: cluster 0 has the lowest risk. Each category is scaled on its own."""
-    scaled = min_max_scaled(risk, "ab", "scaled", by=("category",)).persist()
+    scaled = min_max_scaled(risk, "ab", "scaled", by=("category",))
+    group = F.array_position(F.array(*map(F.lit, categories)), F.col("category")) - 1
+    points = scaled.groupBy(group.alias("group"), F.col("scaled").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
+    points = points.persist()
     try:
-        with ThreadPoolExecutor(len(categories)) as pool:
-            centres = list(
-                pool.map(lambda c: cluster_bounds(scaled.where(F.col("category") == c), "scaled", k), categories)
-            )
+        centres = cluster_centres(points, len(categories), k)
     finally:
-        scaled.unpersist()
+        points.unpersist()
     cluster = None
     for c, found in zip(categories, centres):
         at = nearest_centre(F.col("scaled"), found)
         cluster = F.when(F.col("category") == c, at) if cluster is None else cluster.when(F.col("category") == c, at)
-    again = min_max_scaled(risk, "ab", "scaled", by=("category",))
-    return again.select("category", "value", cluster.alias("cluster"))
+    return scaled.select("category", "value", cluster.alias("cluster"))
 
 
 def cluster_target_fields(
@@ -121,7 +151,11 @@ def cluster_target_fields(
 ) -> DataFrame:
     """Category value and its one-hot cluster columns ``{target}_{category}_{k}``."""
     scaled = min_max_scaled(category_risk(df, category, target), "ab", "scaled")
-    centres = cluster_bounds(scaled, "scaled", n_clusters)
+    points = scaled.groupBy(F.lit(0).alias("group"), F.col("scaled").alias("value")).agg(
+        F.count(F.lit(1)).alias("weight")
+    )
+    centres = cluster_centres(points.persist(), 1, n_clusters)[0]
+    points.unpersist()
     name = f"{target}_{category}"
     labelled = scaled.select(category, nearest_centre(F.col("scaled"), centres).alias(name))
     return one_hot(labelled, name, n_clusters, drop_first)

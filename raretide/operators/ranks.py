@@ -54,12 +54,14 @@ def value_positions(df: DataFrame, column: str, parts: int = PARTS) -> DataFrame
 def average_ranks(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each column replaced by its 1-based average rank; null stays null."""
     out = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    if df.count() <= PART_ROWS:  # one part: the built-in ranking windows do
-        ranks = {}
-        for c in columns:
-            same = F.count(F.lit(1)).over(Window.partitionBy(c))
-            ranks[c] = F.when(F.col(c).isNotNull(), F.rank().over(Window.orderBy(F.asc_nulls_last(c))) + (same - 1) / 2)
-        return out.select(*[r.alias(c) for c, r in ranks.items()])
+    rows = df.count()
+    if rows <= PART_ROWS:  # one part: the built-in ranking windows do
+        def rank(c: str) -> Column:
+            w = Window.orderBy(F.asc_nulls_last(c))
+            # first and last position of the ties of a value
+            return F.when(F.col(c).isNotNull(), (F.rank().over(w) + F.round(F.cume_dist().over(w) * rows)) / 2)
+
+        return out.select(*[rank(c).alias(c) for c in columns])
     out = out.withColumn("_row", F.xxhash64(*columns))
     for c in columns:
         found = value_positions(df, c)

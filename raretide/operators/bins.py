@@ -145,7 +145,7 @@ def bin_column_name(column: str, bin_id: int) -> str:
 def bin_shares(bins: Mapping[str, Bins]) -> list[Column]:
     """Share of each bin among the rows of a group; every bin has a column, seen or not."""
     return [
-        F.avg(F.when(b.bin_of() == i, 1.0).otherwise(0.0)).alias(bin_column_name(c, i))
+        (F.count(F.when(b.bin_of() == i, 1)) / F.count(F.lit(1))).alias(bin_column_name(c, i))
         for c, b in bins.items()
         for i in range(b.size)
     ]

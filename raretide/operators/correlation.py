@@ -46,10 +46,20 @@ def _pairwise(centre: np.ndarray):
     return of_block
 
 
-def _pearson(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+def _means_and_variances(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    aggregates = []
+    for i, c in enumerate(columns):
+        x = F.col(f"`{c}`").cast("double")
+        aggregates += [F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}")]
+    found = np.array([np.nan if v is None else v for v in df.agg(*aggregates).first()], dtype=float)
+    return found[0::2], found[1::2]
+
+
+def _pearson(df: DataFrame, columns: Sequence[str], means: np.ndarray | None = None) -> np.ndarray:
     k = len(columns)
-    means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    centre = np.array([0.0 if m is None else m for m in means])
+    if means is None:
+        means, _ = _means_and_variances(df, columns)
+    centre = np.nan_to_num(means)
     cells = sum_cells(df.select(*[f"`{c}`" for c in columns]), _pairwise(centre))
     if not cells:
         return np.full((k, k), np.nan)
@@ -81,10 +91,9 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     columns = list(columns)
-    found = df.agg(*[F.var_samp(F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]).first()
-    variance = np.array([np.nan if v is None else v for v in found])
+    means, variance = _means_and_variances(df, columns)
     if method == "pearson":
-        r = _pearson(df, columns)
+        r = _pearson(df, columns, means)
     elif method == "spearman":
         r = _spearman(df, columns)
     else:

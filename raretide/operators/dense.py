@@ -67,7 +67,9 @@ def time_spine(df: DataFrame, freq: str = "1H") -> Spine:
 
 
 def bucket_aggregates(df: DataFrame, freq: str) -> DataFrame:
-    """Every per-bucket aggregate. Entropy needs counts per merchant first, so it has its own group-by."""
+    """Every per-bucket aggregate: sums in one group-by, distinct counts in one, and the entropy, which needs
+    counts per merchant first, in one. All three end up partitioned by bucket, so joining them moves nothing.
+    """
     rows = df.withColumn(WINDOW, truncate("date", freq))
     sums = rows.groupBy(WINDOW).agg(
         F.count("id").alias("n"),
@@ -78,11 +80,13 @@ def bucket_aggregates(df: DataFrame, freq: str) -> DataFrame:
         F.count(F.when(F.col("errors") != NO_ERROR, F.col("id"))).alias("bad"),
         (F.stddev_pop("latitude") + F.stddev_pop("longitude")).alias("dispersion"),
         F.avg("credit_score").alias("avg_credit_score"),
+        F.count(F.when(F.col("target") == 1, F.col("id"))).alias("frauds"),
+    )
+    distinct = rows.groupBy(WINDOW).agg(
         F.count_distinct("client_id").alias("unique_clients"),
         F.count_distinct("card_id").alias("unique_cards"),
-        F.count(F.when(F.col("target") == 1, F.col("id"))).alias("frauds"),
     )
-    return sums.join(merchant_entropy(rows), WINDOW, "left")
+    return sums.join(distinct, WINDOW).join(merchant_entropy(rows), WINDOW, "left")
 
 
 def merchant_entropy(rows: DataFrame) -> DataFrame:

@@ -73,12 +73,22 @@ def distinct_with_null(column: str) -> Column:
     return F.count_distinct(F.col(column)) + has_null
 
 
+def distinct_per_window(df: DataFrame) -> DataFrame:
+    """unique_clients and unique_merchants per window.
+
+    A group-by of its own: distinct counts make Spark copy each row once per counted column and carry every
+    other aggregate of the same group-by through the shuffle of the distinct values.
+    """
+    return df.groupBy(WINDOW).agg(
+        distinct_with_null("client_id").alias("unique_clients"),
+        distinct_with_null("merchant_id").alias("unique_merchants"),
+    )
+
+
 def base_aggregates(columns: Sequence[str], with_statistics: bool) -> list[Column]:
     aggregates = [
         F.sum("target").alias("frauds"),
         F.count("target").alias("transactions"),
-        distinct_with_null("client_id").alias("unique_clients"),
-        distinct_with_null("merchant_id").alias("unique_merchants"),
         F.sum("amount").alias("total_amount"),
     ]
     if with_statistics:
@@ -89,6 +99,11 @@ def base_aggregates(columns: Sequence[str], with_statistics: bool) -> list[Colum
     return aggregates
 
 
+def group_base(df: DataFrame, with_statistics: bool, extra: Sequence[Column] = ()) -> DataFrame:
+    sums = df.groupBy(WINDOW).agg(*base_aggregates(df.columns, with_statistics), *extra)
+    return sums.join(distinct_per_window(df), WINDOW)
+
+
 def finish_base(grouped: DataFrame, with_statistics: bool, extra: Sequence[str] = ()) -> DataFrame:
     """Ratios per client and merchant; the raw totals go, and windows with a null base feature go."""
     done = grouped.withColumns(
@@ -107,5 +122,4 @@ def finish_base(grouped: DataFrame, with_statistics: bool, extra: Sequence[str]
 
 def base_features(df: DataFrame, with_statistics: bool = False) -> DataFrame:
     """``df`` carries ``date_window``; one row per window comes out."""
-    grouped = df.groupBy(WINDOW).agg(*base_aggregates(df.columns, with_statistics))
-    return finish_base(grouped, with_statistics)
+    return finish_base(group_base(df, with_statistics), with_statistics)

@@ -55,14 +55,13 @@ class WindowDataBuilder:
         return C.cluster_mix(cells, clusters, categories)
 
     def features(self, window: str, remove_first_discretized: bool = False) -> DataFrame:
-        """All features, before pruning. Base features and bin shares share one group-by."""
+        """All features, before pruning. Sums and bin shares come from one group-by."""
         rows = W.add_window(self.df, window)
         binned = self.config.discretize_numerical
         self.bins = B.plan_bins(self.df, self.config.discretization_strategy) if binned else {}
         shares = B.bin_shares(self.bins)
         share_names = [B.bin_column_name(c, i) for c, b in self.bins.items() for i in range(b.size)]
-        grouped = rows.groupBy(W.WINDOW).agg(*W.base_aggregates(rows.columns, not binned), *shares)
-        table = W.finish_base(grouped, not binned, share_names)
+        table = W.finish_base(W.group_base(rows, not binned, shares), not binned, share_names)
         base = [c for c in table.columns if c not in share_names]
         categories = [c for c in C.CATEGORIES if c in rows.columns]
         if categories:

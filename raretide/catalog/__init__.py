@@ -1 +1,4 @@
+"""All registered queries."""
 
+from raretide.catalog import tables  # noqa: F401
+from raretide.catalog.base import QUERIES  # noqa: F401

@@ -51,3 +51,8 @@ def left_join_spread(
 def seen_in(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:
     """Dimension rows whose key occurs in ``fact``; the keys are made distinct before the shuffle."""
     return dim.join(fact.select(key).distinct(), key, "left_semi")
+
+
+def broadcast_if_small(dim: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Hint a broadcast only after counting that ``dim`` has at most ``max_rows`` rows (four-digit codes do)."""
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim

@@ -98,7 +98,7 @@ def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS) -> list
     best = []
     for group in range(groups):
         starts = [(cost[group, s], tuple(centres[group, s])) for s in range(STARTS) if (group, s) in cost]
-        best.append(sorted(min(starts)[1]) if starts else [])
+        best.append([float(v) for v in min(starts)[1]] if starts else [])
     return best
 
 

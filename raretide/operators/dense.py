@@ -41,14 +41,17 @@ def _floor(t: datetime, minutes: int) -> datetime:
     return t - (t - EPOCH) % timedelta(minutes=minutes)
 
 
-def time_spine(df: DataFrame, freq: str = "1H") -> Spine:
-    """Buckets from the bucket of the first date to the hour at or after the last date."""
+def time_spine(df: DataFrame, freq: str = "1H", with_flags: bool = False) -> Spine:
+    """Buckets from the bucket of the first date to the hour at or after the last date.
+
+    ``with_flags``: ``df`` is recoded for the series; also find the last chip and the last error transaction.
+    """
     unit, minutes = parse_window(freq)
     if unit != "minutes":
         raise ValueError(f"a time spine needs a fixed bucket length, not {freq!r}")
     date = F.col("date").cast("timestamp_ntz")
     pick = {"first": F.min(date), "last": F.max(date)}
-    if {"use_chip", "errors"} <= set(df.columns):
+    if with_flags:
         pick["chip"] = F.max(F.when(F.col("use_chip") == 1, date))
         pick["error"] = F.max(F.when(F.col("errors") != NO_ERROR, date))
     ends = df.agg(*[c.alias(n) for n, c in pick.items()]).first().asDict()

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+FEW_PARTITIONS = 16
 CELL_SCHEMA = "part int, cell int, value double"
 _ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("cell", pa.int32()), ("value", pa.float64())])
 
@@ -24,10 +25,14 @@ def block(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def sum_cells(df: DataFrame, of_block: Callable[[np.ndarray], Sequence[np.ndarray]]) -> dict[int, np.ndarray]:
+def sum_cells(
+    df: DataFrame, of_block: Callable[[np.ndarray], Sequence[np.ndarray]], partitions: int | None = None
+) -> dict[int, np.ndarray]:
     """``of_block`` maps a block of rows to a list of flat arrays; their sums over all rows come back.
 
-    The columns of ``df`` must be numeric. The result has the size of the arrays, not of the data.
+    The columns of ``df`` must be numeric. The result has the size of the arrays, not of the data. When
+    ``partitions``, the number of partitions of ``df``, is known to be small, their sums are added up here
+    instead of in another shuffle.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,14 +52,16 @@ def sum_cells(df: DataFrame, of_block: Callable[[np.ndarray], Sequence[np.ndarra
             )
 
     doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in df.columns])
-    summed = doubles.mapInArrow(task, CELL_SCHEMA).groupBy("part", "cell").agg(F.sum("value").alias("value"))
-    table = summed.toArrow()
+    sums = doubles.mapInArrow(task, CELL_SCHEMA)
+    if partitions is None or partitions > FEW_PARTITIONS:
+        sums = sums.groupBy("part", "cell").agg(F.sum("value").alias("value"))
+    table = sums.toArrow()
     part, cell = table["part"].to_numpy(), table["cell"].to_numpy()
     value = table["value"].to_numpy()
     out = {}
     for i in np.unique(part):
         here = part == i
         cells = np.zeros(cell[here].max() + 1)
-        cells[cell[here]] = value[here]
+        np.add.at(cells, cell[here], value[here])
         out[int(i)] = cells
     return out

@@ -21,7 +21,7 @@ from raretide.operators.moments import sum_cells
 CONST = "const"
 FAMILIES = ("poisson", "negbin", "zip", "zinb")
 BOUNDARY = 15.0
-DECREMENT = 1e-9
+DECREMENT = 1e-12
 MAX_ROUNDS = 200
 
 
@@ -238,7 +238,7 @@ class _State:
             gradient[-1] /= alpha
             hessian[-1, :] /= alpha
             hessian[:, -1] /= alpha
-        return Fit(self.spec, params, cov, self.llf, self.n, self.done and self.ok, self.rounds, gradient, hessian, llnull)
+        return Fit(self.spec, params, cov, float(self.llf), float(self.n), self.done and self.ok, self.rounds, gradient, hessian, llnull)
 
 
 def _model_sums(tasks: list[tuple], weighted: bool):
@@ -337,6 +337,7 @@ def fit_models(
         given = starts[i] if starts and starts[i] is not None else _start(spec, mean, zero / total, variance)
         states.append(_State(spec, np.asarray(given, dtype=float)))
 
+    tasks_of_table = df.rdd.getNumPartitions()
     for _ in range(max_rounds):
         active = [s for s in states if not s.done]
         if not active:
@@ -352,7 +353,7 @@ def fit_models(
         frame = df.select(
             value.alias("_y"), *([w.alias("_w")] if weight else []), F.lit(1.0).alias("_one"), *[f"`{c}`" for c in used]
         )
-        sums = sum_cells(frame, _model_sums(tasks, weight is not None))
+        sums = sum_cells(frame, _model_sums(tasks, weight is not None), tasks_of_table)
         for i, s in enumerate(active):
             cells, k = sums[i], s.trial.size
             score, hessian, meat = cells[2 : 2 + k], cells[2 + k : 2 + k + k * k], cells[2 + k + k * k :]

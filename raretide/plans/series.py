@@ -18,7 +18,7 @@ class FraudFeatureEngineer:
         return recode_for_series(df)
 
     def create_time_index(self, df: DataFrame) -> dense.Spine:
-        return dense.time_spine(df, self.freq)
+        return dense.time_spine(df, self.freq, with_flags=True)
 
     def engineer_features(self, df: DataFrame, window_size_seconds: int = 3600) -> DataFrame:
         rows = self.process(df)

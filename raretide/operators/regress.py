@@ -21,6 +21,8 @@ from raretide.operators.moments import sum_cells
 CONST = "const"
 FAMILIES = ("poisson", "negbin", "zip", "zinb")
 BOUNDARY = 15.0
+# A parameter beyond this, or this many rounds without a gain, means that the maximum is at infinity.
+DIVERGED, STALLED = 200.0, 5
 DECREMENT = 1e-12
 MAX_ROUNDS = 200
 
@@ -170,7 +172,7 @@ class _State:
         self.spec, self.trial = spec, start
         self.point = self.step = None
         self.llf = -math.inf
-        self.n = self.rounds = 0
+        self.n = self.rounds = self.stalled = 0
         self.score = self.hessian = self.meat = None
         self.done = self.ok = False
 
@@ -185,6 +187,8 @@ class _State:
             else:
                 self.trial = self.point + self.step
             return
+        gain = llf - self.llf
+        self.stalled = self.stalled + 1 if gain < 1e-8 * (1 + abs(llf)) else 0
         self.point, self.n, self.llf = self.trial, n, llf
         self.score, self.hessian, self.meat = score, hessian, meat
         if not (np.isfinite(score).all() and np.isfinite(hessian).all()):
@@ -196,6 +200,9 @@ class _State:
         if at_edge or decrement < DECREMENT:
             self.done, self.ok = True, not at_edge and self._definite()
             return
+        if self.stalled >= STALLED or np.max(np.abs(self.point)) > DIVERGED:
+            self.done = True
+            return
         self.trial = self.point + self.step
 
     def _ascent(self, score: np.ndarray, information: np.ndarray) -> np.ndarray:

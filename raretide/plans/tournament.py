@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from raretide.operators import diagnostics as D, stepwise as S
 from raretide.operators.counts import model_metrics
-from raretide.operators.regress import Fit, Spec, fit_models, null_key, null_log_likelihoods
+from raretide.operators.regress import Fit, Spec, fit_models, null_log_likelihoods
 
 # Report names; the NB generalised linear model has dispersion 1.
 FAMILIES = {"Poisson": ("poisson", None), "Binomial": ("negbin", 1.0), "ZIP": ("zip", None), "ZINB": ("zinb", None)}
@@ -34,28 +35,32 @@ def run(
 ) -> dict[str, Fit]:
     """Fits by title. ``df`` is read many times: stage it first."""
     nulls = null_log_likelihoods(df, y, [Spec(f, alpha=a) for f, a in FAMILIES.values()])
-    titles, specs = [], []
-    for name, (family, alpha) in FAMILIES.items():
-        singles = S.screen(df, y, features, family, alpha)
-        best = max((c for c in singles if singles[c].llf == singles[c].llf), key=lambda c: singles[c].llf)
-        titles += [f"{name} Simples", f"{name} Completo"]
-        specs += [_named(family, [best], alpha), _named(family, features, alpha)]
-    fits = {t: f for t, f in zip(titles, fit_models(df, y, specs, llnull=nulls)) if f is not None}
-    for name, (family, alpha) in FAMILIES.items():
-        if family in ("poisson", "negbin"):
-            chosen = S.glm_backward(df, y, features, family, alpha, config.p_limit)
-        else:
-            search = S.StepwiseZeroInflated(
-                model_type=family.upper(), selection_criterion=config.criterion, cov_type=config.cov_type
-            )
-            runs = S.RandomFeatureSelector(
-                search, config.n_estimators, config.max_features, config.random_state,
-                scoring_fn=lambda m: m.final_model_.llf if m.final_model_ else float("-inf"),
-            ).fit(df, y, features)
-            chosen = runs.best_estimator_.final_model_ if runs.best_estimator_ else None
-        if chosen is not None:
-            fits[f"{name} Stepwise"] = chosen
-    return fits
+
+    def of_family(name: str) -> dict[str, Fit | None]:
+        family, alpha = FAMILIES[name]
+        singles = {c: f.llf for c, f in S.screen(df, y, features, family, alpha).items() if f.llf == f.llf}
+        specs = [_named(family, [max(singles, key=singles.get)], alpha), _named(family, features, alpha)]
+        simple, full = fit_models(df, y, specs, llnull=nulls)
+        return {f"{name} Simples": simple, f"{name} Completo": full, f"{name} Stepwise": _stepwise(df, y, features, name, config)}
+
+    # the families do not depend on each other, so their passes may share the cluster
+    with ThreadPoolExecutor(len(FAMILIES)) as pool:
+        found = list(pool.map(of_family, FAMILIES))
+    return {title: f for fits in found for title, f in fits.items() if f is not None}
+
+
+def _stepwise(df: DataFrame, y: str, features: Sequence[str], name: str, config: TournamentConfig) -> Fit | None:
+    family, alpha = FAMILIES[name]
+    if family in ("poisson", "negbin"):
+        return S.glm_backward(df, y, features, family, alpha, config.p_limit)
+    search = S.StepwiseZeroInflated(
+        model_type=family.upper(), selection_criterion=config.criterion, cov_type=config.cov_type
+    )
+    runs = S.RandomFeatureSelector(
+        search, config.n_estimators, config.max_features, config.random_state,
+        scoring_fn=lambda m: m.final_model_.llf if m.final_model_ else float("-inf"),
+    ).fit(df, y, features)
+    return runs.best_estimator_.final_model_ if runs.best_estimator_ else None
 
 
 def metrics(df: DataFrame, y: str, fits: dict[str, Fit]) -> DataFrame:

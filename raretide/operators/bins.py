@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,17 +40,26 @@ class Bins:
     def size(self) -> int:
         return len(self.edges) - 1
 
-    def bin_of(self, column: Column | None = None) -> Column:
-        """Number of inner edges at or below the value; null counts as the median. The last bin holds its end."""
-        x = F.coalesce((F.col(self.column) if column is None else column) / F.lit(self.scale), F.lit(self.median))
+    def scaled(self, value: Column | None = None) -> Column:
+        """Value in scaled units; null counts as the median."""
+        return F.coalesce((F.col(self.column) if value is None else value) / F.lit(self.scale), F.lit(self.median))
+
+    def bin_of(self, value: Column | None = None) -> Column:
+        """Number of inner edges at or below the value, so the last bin holds its upper end."""
         out = F.lit(0)
         for edge in self.edges[1:-1]:
-            out = out + F.when(x >= F.lit(edge), 1).otherwise(0)
+            out = out + F.when(self.scaled(value) >= F.lit(edge), 1).otherwise(0)
         return out
 
+    def shares(self) -> list[Column]:
+        """Share of each bin among the rows of a group: differences of the counts at or above each edge."""
+        rows = F.count(F.lit(1))
+        at_or_above = [rows, *[F.count_if(self.scaled() >= F.lit(e)) for e in self.edges[1:-1]], F.lit(0)]
+        return [(a - b) / rows for a, b in zip(at_or_above, at_or_above[1:])]
+
     def lookup(self, value: Column) -> Column:
         """Bin of any value in original units; outside the edges, below as well as above, is the last bin."""
-        x = F.coalesce(value / F.lit(self.scale), F.lit(self.median))
+        x = self.scaled(value)
         outside = (x < F.lit(self.edges[0])) | (x > F.lit(self.edges[-1]))
         return F.when(outside, self.size - 1).otherwise(self.bin_of(value))
 
@@ -143,12 +152,8 @@ def bin_column_name(column: str, bin_id: int) -> str:
 
 
 def bin_shares(bins: Mapping[str, Bins]) -> list[Column]:
-    """Share of each bin among the rows of a group; every bin has a column, seen or not."""
-    return [
-        (F.count(F.when(b.bin_of() == i, 1)) / F.count(F.lit(1))).alias(bin_column_name(c, i))
-        for c, b in bins.items()
-        for i in range(b.size)
-    ]
+    """One column per bin, seen or not, for every binned column."""
+    return [share.alias(bin_column_name(c, i)) for c, b in bins.items() for i, share in enumerate(b.shares())]
 
 
 INTERVAL_SCHEMA = (

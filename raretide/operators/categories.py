@@ -81,8 +81,9 @@ def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS) -> list
             centres[group, start] = np.sort(chosen)
 
     active, cost = dict(centres), {}
+    partitions = points.rdd.getNumPartitions()
     for _ in range(MAX_PASSES):
-        sums = sum_cells(points, _lloyd_sums(active))
+        sums = sum_cells(points, _lloyd_sums(active), partitions)
         moved = {}
         for i, key in enumerate(sorted(active)):
             w, wx, wxx = sums[i].reshape(3, -1)

@@ -12,14 +12,12 @@ def stream_window_totals(df: DataFrame, window: str = "360m", lateness: str = "1
     """transactions, frauds and total_amount per tumbling window of a streaming (or batch) table.
 
     State is one row per open window; a window is final once the watermark has passed its end. A zone-free
-    event time is read as UTC, because watermarks need an instant.
+    event time becomes an instant in the session zone, which watermarks need: keep that zone at UTC.
     """
     unit, n = parse_window(window)
     if unit != "minutes":
         raise ValueError(f"a streaming window needs a fixed length, not {window!r}")
-    if dict(df.dtypes)[column] == "timestamp_ntz":
-        df = df.withColumn(column, F.to_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
-                           if df.sparkSession.conf.get("spark.sql.session.timeZone") != "UTC" else F.col(column).cast("timestamp"))
+    df = df.withColumn(column, F.col(column).cast("timestamp"))
     return (
         df.withWatermark(column, lateness)
         .groupBy(F.window(column, f"{n} minutes")["start"].alias(WINDOW))

@@ -41,8 +41,9 @@ def query(name: str, *covers: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    doubles = [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(F.col(f"`{c}`") + F.lit(NUDGE), DIGITS) + F.lit(0.0) for c in doubles}) if doubles else df
+    return df.selectExpr(
+        *[f"round(`{c}` + {NUDGE!r}D, {DIGITS}) + 0D AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes]
+    )
 
 
 # -- Spark side of the shared tables ---------------------------------------------------------------------------

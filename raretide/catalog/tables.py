@@ -407,7 +407,7 @@ def _(spark, d):
 def _(spark, d):
     from raretide.operators.dense import seasonal
 
-    return raw_table(spark, d, "transactions_raw").select("id", *seasonal(F.col("date"))[:3])
+    return raw_table(spark, d, "transactions_raw").select("id", *seasonal("date")[:3])
 
 
 # The observed federal holidays of the year the events cover and of the one after it.
@@ -422,8 +422,8 @@ _HOLIDAYS = ("2024-01-01", "2024-01-15", "2024-02-19", "2024-05-27", "2024-06-19
 def _(spark, d):
     rows = raw_table(spark, d, "transactions_raw")
     later = F.date_add(F.to_date("date"), F.col("merchant_id") * 6)
-    return rows.select("id", is_us_federal_holiday(F.col("date")).alias("is_holiday"),
-                       is_us_federal_holiday(later).alias("later_is_holiday"))
+    return rows.withColumn("later", later).select("id", is_us_federal_holiday("date").alias("is_holiday"),
+                                                  is_us_federal_holiday("later").alias("later_is_holiday"))
 
 
 @query("scl11_guarded_ratios", "SCL11", sql=f"""SELECT merchant_id, {r('''CASE WHEN n = 1 THEN 100.0

@@ -24,16 +24,17 @@ FLOATING_HOLIDAYS = (
 )
 
 
-def is_us_federal_holiday(c: Column) -> Column:
+def is_us_federal_holiday(column: str) -> Column:
     """True on the *observed* date of a federal holiday: a Saturday moves to Friday, a Sunday to Monday."""
-    day, weekday = F.to_date(c), F.weekday(c)
-    hit = F.lit(False)
+    day = f"to_date({column})"
+    tests = []
     for month, dom, since in FIXED_HOLIDAYS:
-        for shift, on in ((0, weekday < 5), (1, weekday == 4), (-1, weekday == 0)):
-            actual = F.date_add(day, shift)
-            match = (F.month(actual) == month) & (F.dayofmonth(actual) == dom) & on
-            hit = hit | (match if since is None else match & (F.year(actual) >= since))
+        # the holiday itself on a weekday, the Friday before a Saturday, the Monday after a Sunday
+        for shift, on in ((0, "< 5"), (1, "= 4"), (-1, "= 0")):
+            actual = f"date_add({day}, {shift})"
+            test = f"month({actual}) = {month} AND day({actual}) = {dom} AND weekday({day}) {on}"
+            tests.append(test + (f" AND year({actual}) >= {since}" if since else ""))
     for month, on, first, since in FLOATING_HOLIDAYS:
-        match = (F.month(day) == month) & (weekday == on) & F.dayofmonth(day).between(first, first + 6)
-        hit = hit | (match if since is None else match & (F.year(day) >= since))
-    return hit
+        test = f"month({day}) = {month} AND weekday({day}) = {on} AND day({day}) BETWEEN {first} AND {first + 6}"
+        tests.append(test + (f" AND year({day}) >= {since}" if since else ""))
+    return F.expr(" OR ".join(f"({t})" for t in tests))

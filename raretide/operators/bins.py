@@ -53,9 +53,9 @@ class Bins:
 
     def shares(self) -> list[Column]:
         """Share of each bin among the rows of a group: differences of the counts at or above each edge."""
-        rows = F.count(F.lit(1))
-        at_or_above = [rows, *[F.count_if(self.scaled() >= F.lit(e)) for e in self.edges[1:-1]], F.lit(0)]
-        return [(a - b) / rows for a, b in zip(at_or_above, at_or_above[1:])]
+        x = f"coalesce({self.column} / {self.scale!r}D, {self.median!r}D)"
+        at_or_above = ["count(1)", *[f"count_if({x} >= {e!r}D)" for e in self.edges[1:-1]], "0"]
+        return [F.expr(f"({a} - {b}) / count(1)") for a, b in zip(at_or_above, at_or_above[1:])]
 
     def lookup(self, value: Column) -> Column:
         """Bin of any value in original units; outside the edges, below as well as above, is the last bin."""
@@ -108,13 +108,12 @@ def plan_bins(
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return {}
-    aggregates = []
+    aggregates = ["count(1) as rows"]
     for c in columns:
-        x = F.col(c).cast("double")
-        aggregates += [F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.count(x).alias(f"n_{c}"),
-                       F.approx_count_distinct(x, 0.03).alias(f"d_{c}")]
-    aggregates.append(F.count(F.lit(1)).alias("rows"))
-    stats = df.agg(*aggregates).first().asDict()
+        x = f"cast({c} as double)"
+        aggregates += [f"min({x}) as min_{c}", f"max({x}) as max_{c}", f"count({x}) as n_{c}",
+                       f"approx_count_distinct({x}, 0.03) as d_{c}"]
+    stats = df.selectExpr(*aggregates).first().asDict()
     few = [c for c in columns if stats[f"d_{c}"] < MANY_VALUES]
     if few:
         stats |= df.agg(*[F.count_distinct(F.col(c).cast("double")).alias(f"d_{c}") for c in few]).first().asDict()

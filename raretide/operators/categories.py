@@ -173,9 +173,8 @@ def cluster_mix(
     joined = cells.join(clusters, ["category", "value"], "left")
     shares = []
     for c in categories:
-        here = F.col("category") == c
-        total = F.sum(F.when(here & F.col("cluster").isNotNull(), F.col("n")).otherwise(0))
+        total = f"sum(n) FILTER (WHERE category = '{c}' AND cluster IS NOT NULL)"
         for i in range(k):
-            part = F.sum(F.when(here & (F.col("cluster") == i), F.col("n")).otherwise(0))
-            shares.append(F.try_divide(part, total).alias(f"{target}_{c}_{i}"))
+            part = f"coalesce(sum(n) FILTER (WHERE category = '{c}' AND cluster = {i}), 0)"
+            shares.append(F.expr(f"{part} / {total} AS {target}_{c}_{i}"))
     return joined.groupBy(WINDOW).agg(*shares)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from raretide.operators.moments import sum_cells
 from raretide.operators.ranks import average_ranks, kendall_tau
@@ -47,11 +47,8 @@ def _pairwise(centre: np.ndarray):
 
 
 def _means_and_variances(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        aggregates += [F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}")]
-    found = np.array([np.nan if v is None else v for v in df.agg(*aggregates).first()], dtype=float)
+    both = [f"{fn}(cast(`{c}` as double))" for c in columns for fn in ("avg", "var_samp")]
+    found = np.array([np.nan if v is None else v for v in df.selectExpr(*both).first()], dtype=float)
     return found[0::2], found[1::2]
 
 
@@ -77,7 +74,7 @@ def _pearson(df: DataFrame, columns: Sequence[str], means: np.ndarray | None = N
 def _spearman(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Pearson of average ranks. Pairs with missing values are ranked again over their complete rows."""
     r = _pearson(average_ranks(df, columns), columns)
-    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    nulls = df.selectExpr(*[f"count_if(`{c}` is null)" for c in columns]).first()
     for i in range(len(columns)):
         for j in range(i + 1, len(columns)):
             if nulls[i] or nulls[j]:

@@ -135,7 +135,7 @@ def on_spine(spine: Spine, aggregates: DataFrame, window_size_seconds: int = 360
         "merchant_entropy",
         "avg_credit_score",
         share("bad", spine.last_error).alias("error_ratio"),
-        *seasonal(F.col(WINDOW)),
+        *seasonal(WINDOW),
         clients.alias("unique_clients"),
         cards.alias("unique_cards"),
         ratio_zero_as_one(cards, clients).alias("cards_per_client"),
@@ -143,13 +143,12 @@ def on_spine(spine: Spine, aggregates: DataFrame, window_size_seconds: int = 360
     )
 
 
-def seasonal(t: Column) -> list[Column]:
-    weekday = F.weekday(t)
+def seasonal(column: str) -> list[Column]:
     return [
-        F.hour(t).alias("hour_of_day"),
-        weekday.alias("day_of_week"),
-        F.when(weekday.isin(5, 6), 1).otherwise(0).alias("is_weekend"),
-        F.when(is_us_federal_holiday(t), 1).otherwise(0).alias("is_holiday"),
+        F.expr(f"hour({column}) AS hour_of_day"),
+        F.expr(f"weekday({column}) AS day_of_week"),
+        F.expr(f"if(weekday({column}) IN (5, 6), 1, 0) AS is_weekend"),
+        F.when(is_us_federal_holiday(column), 1).otherwise(0).alias("is_holiday"),
     ]
 
 
@@ -195,4 +194,4 @@ def finish(df: DataFrame, rows: int, chunk_rows: int = CHUNK_ROWS, inf_as_null:
         for c in ("txn_volume_change", "avg_value_change"):
             df = df.withColumn(c, F.when(F.abs(c) < float("inf"), F.col(c)))
     filled = forward_fill(df, FEATURES, INDEX, rows, chunk_rows)
-    return filled.select(WINDOW, *[F.coalesce(c, F.lit(0)).alias(c) for c in FEATURES])
+    return filled.selectExpr(WINDOW, *[f"coalesce({c}, 0) AS {c}" for c in FEATURES])

@@ -51,7 +51,7 @@ def sum_cells(
                 schema=_ARROW_SCHEMA,
             )
 
-    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in df.columns])
+    doubles = df.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in df.columns])
     sums = doubles.mapInArrow(task, CELL_SCHEMA)
     if partitions is None or partitions > FEW_PARTITIONS:
         sums = sums.groupBy("part", "cell").agg(F.sum("value").alias("value"))

@@ -41,22 +41,16 @@ def forward_fill(
 ) -> DataFrame:
     """Replace nulls by the last earlier value. ``rows`` is the known number of rows of ``df``."""
     chunked = df.withColumn(CHUNK, F.floor(F.col(index) / chunk_rows))
-    back = chunk_window(index).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = {c: F.last(c, ignorenulls=True).over(back) for c in columns}
+    back = f"PARTITION BY {CHUNK} ORDER BY {index} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    filled = chunked.selectExpr(CHUNK, *kept, *[f"last({c}, true) OVER ({back}) AS {c}" for c in columns])
     if rows <= chunk_rows:
-        return chunked.withColumns(filled).drop(CHUNK)
+        return filled.drop(CHUNK)
     # one row per chunk: rows / chunk_rows of them, so an unpartitioned frame is small
-    ends = chunked.groupBy(CHUNK).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(index))).alias(f"_end_{c}") for c in columns]
-    )
-    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(CHUNK, *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_in_{c}") for c in columns])
-    return (
-        chunked.withColumns(filled)
-        .join(carried, CHUNK, "left")
-        .withColumns({c: F.coalesce(c, f"_in_{c}") for c in columns})
-        .drop(CHUNK, *[f"_in_{c}" for c in columns])
-    )
+    ends = chunked.groupBy(CHUNK).agg(*[F.expr(f"max_by({c}, {index}) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in columns])
+    before = f"ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    carried = ends.selectExpr(CHUNK, *[f"last({c}, true) OVER ({before}) AS _in_{c}" for c in columns])
+    return filled.join(carried, CHUNK, "left").selectExpr(*kept, *[f"coalesce({c}, _in_{c}) AS {c}" for c in columns])
 
 
 def previous_value(df: DataFrame, value: Column, order: str, chunk: Column, name: str) -> DataFrame:

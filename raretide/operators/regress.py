@@ -357,8 +357,8 @@ def fit_models(
              [0, *[place[c] for c in s.spec.exog]], s.trial)
             for s in active
         ]
-        frame = df.select(
-            value.alias("_y"), *([w.alias("_w")] if weight else []), F.lit(1.0).alias("_one"), *[f"`{c}`" for c in used]
+        frame = df.selectExpr(
+            f"`{y}` as _y", *([f"`{weight}` as _w"] if weight else []), "1D as _one", *[f"`{c}`" for c in used]
         )
         sums = sum_cells(frame, _model_sums(tasks, weight is not None), tasks_of_table)
         for i, s in enumerate(active):

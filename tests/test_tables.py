@@ -54,7 +54,7 @@ def test_holidays_match_the_public_calendar(spark):
     days = pd.date_range("1986-01-01", "2034-12-30")
     expected = set(USFederalHolidayCalendar().holidays(days[0], days[-1]).date)
     df = spark.range(len(days)).select(F.expr("date_add(DATE '1986-01-01', cast(id as int))").alias("d"))
-    got = {r[0] for r in df.where(is_us_federal_holiday(F.col("d"))).collect()}
+    got = {r[0] for r in df.where(is_us_federal_holiday("d")).collect()}
     assert got == expected
 
 

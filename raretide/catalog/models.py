@@ -90,9 +90,9 @@ def _(spark, d):
 def _(spark, d):
     """Log-likelihood at the mean and dispersion 0.8, from the histogram."""
     table = G.count_table(staged_model_rows(spark, d), Y)
-    mean = table.agg((F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("mu"))
+    mean = table.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).scalar()
     ln = P.ln_negative_binomial(F.col("y"), F.col("mu"), 0.8)
-    return table.crossJoin(F.broadcast(mean)).agg(F.sum(F.col("n") * ln).alias("llf"))
+    return table.withColumn("mu", mean).agg(F.sum(F.col("n") * ln).alias("llf"))
 
 
 @query("mdl3_zip_constant", "MDL3", sql=f"WITH {_ZIPC} SELECT {r('mu', 'rate')}, {r('pi', 'inflation')}, {r('llf')} FROM ({_ZIP_LL}) q")

@@ -282,14 +282,20 @@ def _(spark, d):
 def _(spark, d):
     raw = raw_inputs(spark, d)
     rows = split.with_split(ingest.enrich(raw), ingest.fraud_cut(raw)).select("split", "client_id", "card_id")
-    out = None
-    for name in (split.NO_TARGET, split.TRAIN_TEST, split.VALIDATION):
-        part = split.in_split(rows, name)
-        for label, dim, key in (("users", raw.users, "client_id"), ("cards", raw.cards, "card_id")):
-            n = joins.seen_in(dim, part, key).agg(F.count(F.lit(1)).alias("n"))
-            row = n.select(F.lit(label).alias("dimension"), F.lit(name).alias("split"), "n")
-            out = row if out is None else out.union(row)
-    return out
+    def per_split(label, dim, key):
+        seen = joins.seen_by_group(dim, rows, "split", key).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+        return seen.select(F.lit(label).alias("dimension"), "split", "n")
+
+    return per_split("users", raw.users, "client_id").union(per_split("cards", raw.cards, "card_id"))
+
+
+@query("jn3_users_of_validation", "JN3", sql=f"""SELECT client_id, current_age, {r('total_debt')} FROM typed_users
+  WHERE client_id IN (SELECT client_id FROM wide WHERE split = 'validation')""")
+def _(spark, d):
+    raw = raw_inputs(spark, d)
+    rows = split.with_split(ingest.enrich(raw), ingest.fraud_cut(raw))
+    users = joins.seen_in(clean.type_users(raw.users), split.in_split(rows, split.VALIDATION), "client_id")
+    return users.select("client_id", "current_age", "total_debt")
 
 
 @query("jn4_users_and_cards", "JN4", sql=f"""SELECT id, client_id, card_id, credit_score, {r('per_capita_income')}, has_chip,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Recode maps for the card and sale flags. A value outside a map becomes null.
 USE_CHIP = {"Chip Transaction": 1, "Swipe Transaction": 0, "Online": 0}
@@ -18,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def one_row(df: DataFrame) -> Column:
+    """The only row of ``df`` as a struct column: a scalar subquery, run once and shared."""
+    return df.select(F.struct("*")).scalar()
+
+
 def money(c: Column | str, lenient: bool = False) -> Column:
     """``$12.31`` to 12.31. Junk raises (ANSI cast) unless ``lenient``, which gives null."""
     bare = F.replace(_col(c).cast("string"), F.lit("$"), F.lit(""))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from raretide.functions.scalars import one_row
 from raretide.operators.quantiles import exact_quantiles
 from raretide.operators.windows import SCALE_FACTORS, UNSCALED_COLUMNS
 
@@ -176,11 +177,11 @@ def histogram_bins(df: DataFrame, column: str, n: int) -> DataFrame:
     """Counts in ``n`` equal-width bins over the range of ``column``, the last one closed; empty bins stay."""
     ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     step = (F.col("hi") - F.col("lo")) / n
-    place = F.floor((F.col(column) - F.col("lo")) / F.nullif(step, F.lit(0.0)))
+    at = one_row(ends.withColumn("step", step))
+    place = F.floor(F.try_divide(F.col(column) - at["lo"], at["step"]))
     bin_id = F.least(F.coalesce(place, F.lit(0)), F.lit(n - 1)).cast("int")
     counts = (
-        df.where(F.col(column).isNotNull()).select(column).crossJoin(F.broadcast(ends))
-        .groupBy(bin_id.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+        df.where(F.col(column).isNotNull()).groupBy(bin_id.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     )
     bounds = ends.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"), "lo", step.alias("step"))
     return bounds.join(counts, "bin", "left").select(

@@ -33,10 +33,11 @@ def category_risk(df: DataFrame, category: str, target: str = "target") -> DataF
 
 def min_max_scaled(df: DataFrame, column: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Scaled to [0, 1]; a constant column becomes 0. The extremes are one row (per ``by`` group)."""
-    ends = df.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))
-    scaled = F.coalesce(F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    return joined.withColumn(name, scaled).drop("_lo", "_hi")
+    ends = df.groupBy(*by).agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("_ends"))
+    joined = df.join(ends, list(by)) if by else df.withColumn("_ends", ends.scalar())
+    low, high = F.col("_ends.lo"), F.col("_ends.hi")
+    scaled = F.coalesce(F.try_divide(F.col(column) - low, high - low), F.lit(0.0))
+    return joined.withColumn(name, scaled).drop("_ends")
 
 
 def one_hot(df: DataFrame, column: str, levels: int, drop_first: bool = False) -> DataFrame:

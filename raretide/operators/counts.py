@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from raretide.functions.probability import ln_poisson
 from raretide.operators.regress import Fit, Spec, count_table, fit_models, null_key
 
 # Report names of the four families.
@@ -35,10 +37,8 @@ def histogram(df: DataFrame, y: str = "frauds") -> DataFrame:
 def poisson_closed_form(df: DataFrame, y: str = "frauds") -> DataFrame:
     """Maximum-likelihood rate and log-likelihood, from the histogram in one plan."""
     counts = count_table(df, y)
-    rate = counts.agg((F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("rate"))
-    from raretide.functions.probability import ln_poisson
-
-    return counts.crossJoin(F.broadcast(rate)).groupBy("rate").agg(
+    rate = counts.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).scalar()
+    return counts.withColumn("rate", rate).groupBy("rate").agg(
         F.sum(F.col("n") * ln_poisson(F.col("y"), F.col("rate"))).alias("llf"), F.sum("n").alias("n")
     )
 
@@ -121,8 +121,6 @@ class BaselineCoutingModel:
         finally:
             counts.unpersist()
         nulls = {null_key(f.spec): f.llf for f in fits if f is not None}
-        from dataclasses import replace
-
         return {n: replace(f, llnull=nulls[null_key(f.spec)]) for n, f in zip(names, fits) if f is not None}
 
     def train_poisson(self) -> Fit | None:

@@ -9,6 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raretide.functions import probability as P
+from raretide.functions.scalars import one_row
 from raretide.operators.bins import histogram_bins
 from raretide.operators.ordered import previous_value
 from raretide.operators.ranks import ordered_values
@@ -71,10 +72,11 @@ def residual_histogram(df: DataFrame, column: str = "resid_pearson", n: int = RE
 def qq_table(df: DataFrame, column: str = "resid_pearson") -> DataFrame:
     """Standardised sample against standard-normal quantiles at i / (n + 1)."""
     sizes = df.agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.stddev_pop(column).alias("d"))
-    return ordered_values(df, column).crossJoin(F.broadcast(sizes)).select(
+    placed = ordered_values(df, column).withColumn("s", one_row(sizes))
+    return placed.withColumn("p", F.col("position") / (F.col("s.n") + 1)).select(
         "position",
-        P.normal_quantile(F.col("position") / (F.col("n") + 1)).alias("theoretical"),
-        F.try_divide(F.col("value") - F.col("m"), F.col("d")).alias("sample"),
+        P.normal_quantile("p").alias("theoretical"),
+        F.try_divide(F.col("value") - F.col("s.m"), F.col("s.d")).alias("sample"),
     )
 
 
@@ -158,8 +160,9 @@ def dagostino_pearson(df: DataFrame, column: str = "resid_pearson") -> DataFrame
 def breusch_pagan(df: DataFrame, residual: str = "resid_pearson", fitted: str = "fitted") -> DataFrame:
     """Regress residuals on fitted values, then the squared remainders on fitted values: LM = n R², and F."""
     line = df.agg(F.regr_slope(residual, fitted).alias("b"), F.regr_intercept(residual, fitted).alias("a"))
-    left = F.col(residual) - F.col("a") - F.col("b") * F.col(fitted)
-    squared = df.crossJoin(F.broadcast(line)).select((left * left).alias("e2"), F.col(fitted).alias("f"))
+    at = one_row(line)
+    left = F.col(residual) - at["a"] - at["b"] * F.col(fitted)
+    squared = df.select((left * left).alias("e2"), F.col(fitted).alias("f"))
     r2 = squared.agg(F.regr_r2("e2", "f").alias("r2"), F.count("e2").alias("n"))
     lm, f = F.col("n") * F.col("r2"), F.col("r2") / ((1 - F.col("r2")) / (F.col("n") - 2))
     return r2.select("n", lm.alias("lm"), f.alias("f"))

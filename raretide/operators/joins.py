@@ -53,6 +53,11 @@ def seen_in(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:
     return dim.join(fact.select(key).distinct(), key, "left_semi")
 
 
+def seen_by_group(dim: DataFrame, fact: DataFrame, group: str, key: str) -> DataFrame:
+    """:func:`seen_in` for every value of ``group`` in one pass: dimension rows tagged with the groups they occur in."""
+    return dim.join(fact.select(group, key).distinct(), key)
+
+
 def broadcast_if_small(dim: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only after counting that ``dim`` has at most ``max_rows`` rows (four-digit codes do)."""
     return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim

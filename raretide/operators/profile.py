@@ -64,10 +64,7 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = False) -> DataFra
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Counts divided by the number of non-null values."""
     counts = value_counts(df, column)
-    total = df.agg(F.count(column).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        column, (F.col("count") / F.col("_total")).alias("share")
-    )
+    return counts.select(column, (F.col("count") / df.agg(F.count(column)).scalar()).alias("share"))
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

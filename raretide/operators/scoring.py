@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raretide.functions.probability import logistic
+from raretide.functions.scalars import one_row
 from raretide.operators.regress import CONST
 
 DISPERSION = "alpha"
@@ -14,13 +15,11 @@ DISPERSION = "alpha"
 
 def standard_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population standard deviation; a constant column becomes 0."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_d_{c}") for c in columns])
+    stats = one_row(df.selectExpr(*[f"struct(avg({c}) AS m, stddev_pop({c}) AS d) AS {c}" for c in columns]))
     scaled = {
-        c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_d_{c}")),
-                      F.when(F.col(c).isNotNull(), F.lit(0.0)))
-        for c in columns
+        c: F.expr(f"coalesce(try_divide({c} - _s.{c}.m, _s.{c}.d), if({c} IS NULL, NULL, 0D))") for c in columns
     }
-    return df.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*stats.columns)
+    return df.withColumn("_s", stats).withColumns(scaled).drop("_s")
 
 
 def log1p_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

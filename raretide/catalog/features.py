@@ -77,7 +77,7 @@ _BASE_SQL = f"""SELECT date_window, CAST(sum(target) AS BIGINT) AS frauds,
 
 @query("agg6_base_features", "AGG6", sql=_BASE_SQL)
 def _(spark, d):
-    return W.base_features(windowed(spark, d))
+    return W.base_features(W.add_window(staged_rows(spark, d), "360m"))
 
 
 _RISK = """CASE WHEN n = s THEN 100.0 ELSE least(1.0 * s / (n - s), 100.0) END"""
@@ -158,7 +158,7 @@ def _(spark, d):
   count(DISTINCT client_id) AS unique_clients, count(DISTINCT card_id) AS unique_cards,
   count(*) FILTER (WHERE target = 1) AS frauds FROM clean GROUP BY 1""")
 def _(spark, d):
-    found = dense.bucket_aggregates(clean.recode_for_series(clean_rows(spark, d)), "1H")
+    found = dense.bucket_aggregates(clean.recode_for_series(staged_rows(spark, d)), "1H")
     return found.select(
         WIN, "n", "total_amount", "avg_txn_value", F.try_divide("chips", "n").alias("chip_ratio"),
         F.try_divide("bad", "n").alias("error_ratio"), "dispersion", "avg_credit_score",
@@ -234,7 +234,7 @@ def _(spark, d):
 @query("jn6_feature_blocks", "JN6", sql=f"""SELECT a.*, b.rows_with_error FROM ({_BASE_SQL}) a LEFT JOIN
   (SELECT date_window, count(*) AS rows_with_error FROM w360 WHERE errors IS NOT NULL GROUP BY 1) b USING (date_window)""")
 def _(spark, d):
-    rows = windowed(spark, d)
+    rows = W.add_window(staged_rows(spark, d), "360m")
     block = rows.where(F.col("errors").isNotNull()).groupBy(WIN).agg(F.count(F.lit(1)).alias("rows_with_error"))
     return W.base_features(rows).join(block, WIN, "left")
 
@@ -243,7 +243,7 @@ def _(spark, d):
   (SELECT date_trunc('hour', date) AS date_window, count(*) AS online FROM clean WHERE online_sales = 'Yes' GROUP BY 1) a FULL JOIN
   (SELECT date_trunc('hour', date) AS date_window, count(*) AS bad FROM clean WHERE errors IS NOT NULL GROUP BY 1) b ON a.date_window = b.date_window""")
 def _(spark, d):
-    rows = windowed(spark, d, "1h")
+    rows = W.add_window(staged_rows(spark, d), "1h")
     online = rows.where(F.col("online_sales") == "Yes").groupBy(WIN).agg(F.count(F.lit(1)).alias("online"))
     bad = rows.where(F.col("errors").isNotNull()).groupBy(WIN).agg(F.count(F.lit(1)).alias("bad"))
     return online.join(bad, WIN, "full")

@@ -45,8 +45,8 @@ def value_positions(df: DataFrame, column: str, parts: int = PARTS) -> DataFrame
         .agg(F.count(F.lit(1)).alias("n"))
     )
     shares = [i / parts for i in range(1, parts)]
-    cuts = counts.agg(F.percentile_approx("value", shares, 10 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
+    distinct, cuts = counts.agg(F.count(F.lit(1)), F.percentile_approx("value", shares, 10 * parts)).first()
+    cuts = sorted(set(cuts or [])) if distinct > PART_ROWS else []
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("value"))) if cuts else F.lit(0)
     return weight_before(counts.withColumn("one", F.lit(1)), [], "value", ["n", "one"], part).drop("one")
 

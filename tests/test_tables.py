@@ -162,6 +162,7 @@ def test_average_ranks_in_parts(spark, monkeypatch):
 
 def test_ordered_values_expands_ties(spark, monkeypatch):
     monkeypatch.setattr(ranks, "EXPLODE_ROWS", 7)
+    monkeypatch.setattr(ranks, "PART_ROWS", 2)
     df = spark.createDataFrame([(float(v),) for v in [3] * 40 + [1, 2, 2, 9]], "v double")
     got = ranks.ordered_values(df, "v", parts=3).orderBy("position").collect()
     assert [r["position"] for r in got] == list(range(1, 45))

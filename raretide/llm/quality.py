@@ -17,16 +17,15 @@ REPEAT_SHARE = 50  # per cent of the words
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.30
 MIN_COMMON_WORDS_TEXT, MAX_WORD_DISTANCE = 100, 0.60
 
-# Character classes of the histogram; what is in none of them counts as "other".
+# Character classes of the histogram, besides white space. What is in none of them, lower-case ASCII
+# letters above all, is the class "other".
 CHARACTER_CLASSES = {
-    "lower": "[a-z]",
     "upper": "[A-Z]",
     "digit": "[0-9]",
-    "space": "[ ]",
-    "line": "[\\n\\r\\t]",
     "stop": "[.,;:]",
     "symbol": "[#*$%&|<>]",
-    "mark": "[!?\"'()\\-]",
+    "mark": "[!?\"'()-]",
+    "foreign": "[^\\x00-\\x7F]",
 }
 
 # Common words per language, the rest of a text's words counts as "other".
@@ -46,38 +45,47 @@ def words_of(text: Column) -> Column:
 def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
     """``df`` with the number of words that stand in a three-word window found twice or more.
 
-    Windows are sorted as numbers: a hash above, the position in the low bits. Equal windows become neighbours.
-    The neighbours that agree in the hash bits are then sorted and compared as words, so a chance agreement of two
-    hashes counts nothing. Each step is a projection of its own; none leaves the row.
+    Windows are sorted as numbers: a hash above, the position in the low bits. Equal windows become neighbours, and
+    neighbours that agree in the hash bits are compared as words. Where a chance agreement of two hashes is found, the
+    text's candidate windows are sorted and compared as words instead, so the count is exact. Each step is a
+    projection of its own; none leaves the row.
     """
     w, n = F.col(words), F.size(words)
-    positions = F.sequence(F.lit(0), n - 3)
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 1.0)).cast("int")) - 1
-
-    def packed(i):
-        h = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        return h.bitwiseAND(F.bitwise_not(F.col("__low"))).bitwiseOR(i.cast("long"))
+    h, z, low = F.col("__hash"), F.col("__windows"), F.col("__low")
+    none = F.array().cast("array<bigint>")
 
     def agrees(x, y):
-        return F.coalesce(x.bitwiseXOR(y) <= F.col("__low"), F.lit(False)) & F.coalesce(x.bitwiseXOR(y) >= 0, F.lit(False))
-
-    def text_of(c):
-        i = c.bitwiseAND(F.col("__low")).cast("int")
-        return F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))
-
-    ordered, same = F.col("__ordered"), F.col("__same")
-    df = df.withColumn("__low", low)
-    df = df.withColumn("__ordered", F.when(n > 3, F.sort_array(F.transform(positions, packed))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("__near", F.filter(ordered, lambda x, i: agrees(x, F.get(ordered, i - 1)) | agrees(x, F.get(ordered, i + 1))))
-    df = df.withColumn("__same", F.sort_array(F.transform("__near", text_of)))
-    twice = F.filter(same, lambda x, i: F.coalesce(x["t"] == F.get(same, i - 1)["t"], F.lit(False))
-                     | F.coalesce(x["t"] == F.get(same, i + 1)["t"], F.lit(False)))
-    covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-    return df.withColumn(out, F.size(F.array_distinct(covered)).cast("long")).drop("__low", "__ordered", "__near", "__same")
+        return F.coalesce(x.bitwiseXOR(y).between(F.lit(0), low), F.lit(False))
+
+    def word(x, k):
+        return F.get(w, x.bitwiseAND(low).cast("int") + k)
+
+    df = df.withColumn("__low", F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 1.0)).cast("int")) - 1)
+    df = df.withColumn("__hash", F.transform(w, lambda x: F.xxhash64(x)))
+    pairs = F.zip_with(F.slice(h, 1, n - 2), F.slice(h, 2, n - 2), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn("__windows", F.when(n > 3, F.zip_with(pairs, F.slice(h, 3, n - 2), lambda x, y: F.xxhash64(x, y))).otherwise(none))
+    packed = F.sort_array(F.transform(z, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+    df = df.withColumn("__ordered", F.when(F.size(F.array_distinct(z)) < F.size(z), packed).otherwise(none))
+    o, c = F.col("__ordered"), F.col("__near")
+    df = df.withColumn("__near", F.filter(o, lambda x, i: agrees(x, F.get(o, i + 1)) | agrees(x, F.get(o, i - 1))))
+    step = F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    df = df.withColumn("__clash", F.exists(step, lambda s: agrees(s["x"], s["y"]) & ~(
+        (word(s["x"], 0) == word(s["y"], 0)) & (word(s["x"], 1) == word(s["y"], 1)) & (word(s["x"], 2) == word(s["y"], 2)))))
+    same = F.sort_array(F.transform(c, lambda x: F.struct(F.concat_ws(" ", word(x, 0), word(x, 1), word(x, 2)).alias("t"), x.alias("x"))))
+    df = df.withColumn("__same", F.when(F.col("__clash"), same))
+    e = F.col("__same")
+    twice = F.transform(F.filter(e, lambda x, i: F.coalesce(x["t"] == F.get(e, i - 1)["t"], F.lit(False)) | F.coalesce(
+        x["t"] == F.get(e, i + 1)["t"], F.lit(False))), lambda x: x["x"])
+    first = F.transform(F.when(F.col("__clash"), twice).otherwise(c), lambda x: x.bitwiseAND(low))
+    df = df.withColumn("__first", first)
+    f = F.col("__first")
+    covered = F.array_distinct(F.concat(f, F.transform(f, lambda x: x + 1), F.transform(f, lambda x: x + 2)))
+    return df.withColumn(out, F.size(covered).cast("long")).drop("__low", "__hash", "__windows", "__ordered", "__near", "__clash", "__same", "__first")
 
 
 def _hits(words: Column, common: list[str]) -> Column:
-    return F.transform(F.filter(words, lambda x: F.lower(x).isin(common)), F.lower)
+    """The common words of a text as they are written, each between two blanks of its own."""
+    return F.concat(F.lit(" "), F.array_join(F.filter(words, lambda x: x.isin(common)), "  "), F.lit(" "))
 
 
 def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -91,16 +99,19 @@ def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     df = with_repeated_words(df, "w", "n_repeat_words")
     known = F.col("lang").isin(list(COMMON_WORDS))
-    sizes = [F.struct(F.size(_hits(F.col("w"), common)).alias("n"), F.lit(name).alias("name")) for name, common in sorted(COMMON_WORDS.items(), reverse=True)]
+    sizes = [F.struct(F.size(F.filter("w", lambda x: x.isin(common))).alias("n"), F.lit(name).alias("name")) for name, common in sorted(COMMON_WORDS.items(), reverse=True)]
     df = df.withColumn("ref", F.when(known, F.col("lang")).otherwise(F.greatest(*sizes)["name"]))
     hits = F.coalesce(*[F.when(F.col("ref") == name, _hits(F.col("w"), common)) for name, common in COMMON_WORDS.items()])
     df = df.withColumn("hits", hits)
 
     def count_of(k):
-        word = F.coalesce(*[F.when(F.col("ref") == name, F.lit(common[k])) for name, common in COMMON_WORDS.items()])
-        return F.size("hits") - F.size(F.array_remove("hits", word))
+        one = F.coalesce(*[F.when(F.col("ref") == name, F.lit(f" {common[k]} ")) for name, common in COMMON_WORDS.items()])
+        return (F.length("hits") - F.length(F.replace("hits", one, F.lit("")))) / F.length(one)
 
-    classes = [F.regexp_count("t", F.lit(pattern)).cast("long").alias(f"c{i}") for i, pattern in enumerate(CHARACTER_CLASSES.values())]
+    # Most characters are lower-case letters and blanks; the classes are counted in what is left without them.
+    df = df.withColumn("rare", F.regexp_replace("t", f"[a-z{SPACE}]+", ""))
+    classes = [F.regexp_count("rare", F.lit(pattern)).cast("long").alias(f"c{i}") for i, pattern in enumerate(CHARACTER_CLASSES.values())]
+    n_classes = len(classes)
     n_common = len(next(iter(COMMON_WORDS.values())))
     counts = [count_of(k).cast("long").alias(f"w{k}") for k in range(n_common)]
     df = df.select(
@@ -108,25 +119,30 @@ def text_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.length("t").cast("long").alias("chars"), *classes, *counts,
     )
-    others = [(F.col("chars") - sum((F.col(f"c{i}") for i in range(1, len(classes))), F.col("c0"))).alias(f"c{len(classes)}"),
+    others = [(F.col("chars") - F.col("word_chars")).alias(f"c{n_classes}"),  # white space
+              (F.col("word_chars") - sum((F.col(f"c{i}") for i in range(1, n_classes)), F.col("c0"))).alias(f"c{n_classes + 1}"),
               (F.col("n_words") - sum((F.col(f"w{k}") for k in range(1, n_common)), F.col("w0"))).alias(f"w{n_common}")]
     return df.select("*", *others, F.col(f"c{list(CHARACTER_CLASSES).index('symbol')}").alias("n_symbols"))
 
 
-def divergence(counts: list[Column], reference: list[Column]) -> Column:
-    """Jensen-Shannon distance (root of the divergence to base 2, from 0 to 1) of two histograms; null if one is empty."""
-    total, total_ref = sum(counts[1:], counts[0]), sum(reference[1:], reference[0])
-    terms = []
+def divergence(counts: list[Column], total: Column, reference: list[Column], reference_total: Column) -> Column:
+    """Jensen-Shannon distance (root of the divergence to base 2, from 0 to 1) of two histograms; null if one is empty.
+
+    Each bin adds p log p + q log q - (p + q) log((p + q) / 2).
+    """
+    def term(x: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x)).otherwise(F.when(x.isNotNull(), 0.0))
+
+    parts = []
     for a, b in zip(counts, reference, strict=True):
-        p, q = a / F.nullif(total, F.lit(0)), b / F.nullif(total_ref, F.lit(0))
-        m = (p + q) / 2
-        terms += [F.when(x > 0, x * F.log2(x / m)).otherwise(F.when(x.isNotNull(), 0.0)) for x in (p, q)]
-    return F.sqrt(F.greatest(F.lit(0.0), sum(terms[1:], terms[0]) / 2))
+        p, q = a / F.nullif(total, F.lit(0)), b / F.nullif(reference_total, F.lit(0))
+        parts.append(term(p) + term(q) - 2 * term((p + q) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0]) / 2))
 
 
 def language_references(statistics: DataFrame) -> DataFrame:
     """Histograms of all texts per language, one row for each language with a word list: a handful of rows."""
-    sums = [c for c in statistics.columns if c[0] in "cw" and c[1:].isdigit()]
+    sums = [c for c in statistics.columns if c[0] in "cw" and c[1:].isdigit()] + ["chars", "n_words"]
     return statistics.groupBy("ref").agg(*[F.sum(c).alias(f"r{c}") for c in sums])
 
 
@@ -142,10 +158,10 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     stats = stage(text_statistics(docs, id_column, text_column, lang_column), "text-statistics")
     references = F.broadcast(language_references(stats))  # at most one row per word list
-    own = lambda letter: sorted((c for c in stats.columns if c[0] == letter and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    bins = {x: [c for c in stats.columns if c[0] == x and c[1:].isdigit()] for x in "cw"}
     df = stats.join(references, "ref", "left")
-    df = df.withColumn("char_distance", divergence([F.col(c) for c in own("c")], [F.col(f"r{c}") for c in own("c")]))
-    df = df.withColumn("word_distance", divergence([F.col(c) for c in own("w")], [F.col(f"r{c}") for c in own("w")]))
+    for x, total, name in (("c", "chars", "char_distance"), ("w", "n_words", "word_distance")):
+        df = df.withColumn(name, divergence([F.col(c) for c in bins[x]], F.col(total), [F.col(f"r{c}") for c in bins[x]], F.col(f"r{total}")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     far = ((F.col("chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | (
         (F.col("n_words") >= MIN_COMMON_WORDS_TEXT) & (F.col("word_distance") > MAX_WORD_DISTANCE))

@@ -14,8 +14,8 @@ from raretide.llm.common import SPACE, stage
 MIN_WORDS = 50
 REPEAT_SHARE = 50  # per cent of the words
 # Minimum-length guards and largest distances of the two comparisons.
-MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.30
-MIN_COMMON_WORDS_TEXT, MAX_WORD_DISTANCE = 100, 0.60
+MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.32
+MIN_COMMON_WORDS_TEXT, MAX_WORD_DISTANCE = 100, 0.30
 
 # Character classes of the histogram, besides white space. What is in none of them, lower-case ASCII
 # letters above all, is the class "other".
@@ -140,10 +140,14 @@ def divergence(counts: list[Column], total: Column, reference: list[Column], ref
     return F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0]) / 2))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
+
+
 def language_references(statistics: DataFrame) -> DataFrame:
-    """Histograms of all texts per language, one row for each language with a word list: a handful of rows."""
+    """Histograms of all texts that pass the base rules, one row for each language with a word list: a handful of rows."""
     sums = [c for c in statistics.columns if c[0] in "cw" and c[1:].isdigit()] + ["chars", "n_words"]
-    return statistics.groupBy("ref").agg(*[F.sum(c).alias(f"r{c}") for c in sums])
+    return statistics.where(~base_failed()).groupBy("ref").agg(*[F.sum(c).alias(f"r{c}") for c in sums])
 
 
 def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -162,7 +166,7 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     df = stats.join(references, "ref", "left")
     for x, total, name in (("c", "chars", "char_distance"), ("w", "n_words", "word_distance")):
         df = df.withColumn(name, divergence([F.col(c) for c in bins[x]], F.col(total), [F.col(f"r{c}") for c in bins[x]], F.col(f"r{total}")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
+    failed = base_failed()
     far = ((F.col("chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | (
         (F.col("n_words") >= MIN_COMMON_WORDS_TEXT) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     return df.select(

@@ -2,10 +2,89 @@
 
 from __future__ import annotations
 
+from raretide.llm import licenses, quality
+
 EXACT_DEDUP_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
 SELECT t.doc_id, g.keep_id, g.group_size, coalesce(t.doc_id = g.keep_id, false) AS kept, sha256(t.text) AS text_sha256
 FROM t JOIN g ON t.text = g.text
 """
-QUALITY_SQL = LICENSE_SQL = None
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _distance(letter: str, bins: int, total: str) -> str:
+    def term(x):
+        return f"(CASE WHEN {x} > 0 THEN {x} * log2({x}) WHEN {x} IS NOT NULL THEN 0.0 END)"
+
+    parts = []
+    for i in range(bins):
+        p, q = f"(s.{letter}{i} / nullif(s.{total}, 0))", f"(r.{letter}{i} / nullif(r.{total}, 0))"
+        parts.append(f"{term(p)} + {term(q)} - 2 * {term(f'(({p} + {q}) / 2)')}")
+    return f"sqrt(greatest(0.0, ({' + '.join(parts)}) / 2))"
+
+
+def quality_sql() -> str:
+    classes = list(quality.CHARACTER_CLASSES.values())
+    lists = quality.COMMON_WORDS
+    n = len(next(iter(lists.values())))
+    class_counts = [f"len(regexp_extract_all(t, {_quoted(p)})) AS c{i}" for i, p in enumerate(classes)]
+    guesses = "greatest(" + ", ".join(
+        f"{{'n': len(list_filter(w, lambda x: list_contains({common!r}, x))), 'name': '{name}'}}" for name, common in lists.items()) + ").name"
+    word_counts = [
+        f"len(list_filter(w, lambda x: x = CASE ref " + " ".join(f"WHEN '{name}' THEN {_quoted(common[k])}" for name, common in lists.items()) + f" END)) AS w{k}"
+        for k in range(n)]
+    k = len(classes)
+    bins = [f"c{i}" for i in range(k + 2)] + [f"w{i}" for i in range(n + 1)]
+    failed = f"(n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_SHARE} * n_words)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+windows AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i,
+  unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS k FROM words),
+repeats AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM repeats) GROUP BY rid),
+guessed AS (SELECT *, CASE WHEN lang IN ({", ".join(map(_quoted, lists))}) THEN lang ELSE {guesses} END AS ref FROM words),
+counted AS (SELECT rid, doc_id, ref, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS chars,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, {", ".join(class_counts)}, {", ".join(word_counts)} FROM guessed),
+s AS (SELECT counted.*, coalesce(covered.n, 0) AS n_repeat_words, chars - word_chars AS c{k},
+  word_chars - {" - ".join(f"c{i}" for i in range(k))} AS c{k + 1},
+  n_words - {" - ".join(f"w{i}" for i in range(n))} AS w{n} FROM counted LEFT JOIN covered USING (rid)),
+r AS (SELECT ref, {", ".join(f"sum({b}) AS {b}" for b in [*bins, "chars", "n_words"])} FROM s WHERE NOT {failed} GROUP BY ref),
+v AS (SELECT s.*, {failed.replace("n_", "s.n_")} AS base_failed, {_distance("c", k + 2, "chars")} AS char_distance,
+  {_distance("w", n + 1, "n_words")} AS word_distance FROM s LEFT JOIN r USING (ref))
+SELECT doc_id, n_words, word_chars, c{list(quality.CHARACTER_CLASSES).index("symbol")} AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((chars >= {quality.MIN_CHARS} AND char_distance > {quality.MAX_CHAR_DISTANCE})
+    OR (n_words >= {quality.MIN_COMMON_WORDS_TEXT} AND word_distance > {quality.MAX_WORD_DISTANCE}), false) AS kept
+FROM v
+"""
+
+
+def license_sql() -> str:
+    words = r"regexp_extract_all(lower({}), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    rows = ", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(t)})" for (a, b), t in licenses.TEMPLATES.items())
+    return f"""
+WITH templates AS (SELECT license, wording, {pairs.format("w")} AS b
+  FROM (SELECT *, {words.format("text")} AS w FROM (VALUES {rows}) AS v(license, wording, text))),
+cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, unnest(range(0, len(lines))) AS line, unnest(lines) AS u FROM cut
+  UNION ALL SELECT doc_id, -1, text FROM cut WHERE len(lines) > 1),
+grams AS (SELECT doc_id, line, {pairs.format("w")} AS b FROM (SELECT doc_id, line, {words.format("u")} AS w FROM units)),
+scored AS (SELECT doc_id, line, license, wording,
+    2.0 * len(list_intersect(grams.b, templates.b)) / (len(grams.b) + len(templates.b)) AS dice
+  FROM grams, templates WHERE len(grams.b) > 0 AND len(grams.b) < 1000),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, wording, line) AS k
+  FROM scored WHERE dice >= {licenses.SIMILARITY})
+SELECT doc_id, license, wording, round(dice, 6) AS dice, line FROM ranked WHERE k = 1
+"""
+
+
+QUALITY_SQL, LICENSE_SQL = quality_sql(), license_sql()

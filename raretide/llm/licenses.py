@@ -2,14 +2,15 @@
 
 The units of a text that are compared are its lines and the text as a whole. A template is only compared with units
 whose number of bigrams allows the wanted coefficient. Units meet templates through the bigrams that they share (an
-equi-join with a small fixed table), so units without a common bigram cost nothing.
+equi-join with a small fixed table). Before that, texts that hold none of the templates' anchor words are left out:
+whatever reaches the coefficient shares so many bigrams with its template that it must hold one of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from math import ceil
 
-from raretide.llm.common import SPACE
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SIMILARITY = 0.8
 
@@ -71,6 +72,23 @@ def template_bigrams(spark: SparkSession, templates: dict[tuple[str, str], str])
     return sets.select("license", "wording", F.size("b").alias("size"), F.explode("b").alias("bigram"))
 
 
+def anchor_words(spark: SparkSession, templates: dict[tuple[str, str], str], similarity: float) -> list[str]:
+    """Words of which every matching unit holds one.
+
+    A coefficient of at least t with a template of s bigrams needs s * t / (2 - t) shared ones. So of any s minus that
+    many plus one of the template's bigrams, one is shared; those with the longest words are taken, as long words are
+    rare, and each stands for its longer word. Their number depends on the given templates alone.
+    """
+    per_template: dict[tuple[str, str], list[list[str]]] = {}
+    for row in template_bigrams(spark, templates).collect():
+        per_template.setdefault((row["license"], row["wording"]), []).append(row["bigram"].split(" "))
+    anchors: set[str] = set()
+    for pairs in per_template.values():
+        spare = len(pairs) - ceil(len(pairs) * similarity / (2 - similarity) - 1e-9) + 1
+        anchors.update(sorted((max(pair, key=lambda w: (len(w), w)) for pair in pairs), key=lambda w: (-len(w), w))[:spare])
+    return sorted(anchors)
+
+
 def license_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY,
                     templates: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """One row per document and licence found: id, license, wording, dice, line.
@@ -88,12 +106,12 @@ def license_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def fits(n: Column) -> Column:
         return F.greatest(*[n.between(F.lit(s * least), F.lit(s * most)) for s in [*sizes, sizes[0]]])
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t")).where("t is not null")
+    anchors = F.array(*[F.lit(w) for w in anchor_words(spark, templates, similarity)])
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t")).where(F.arrays_overlap(normalised_words(F.col("t")), anchors))
     lines = rows.select("id", F.posexplode(F.split("t", "\n")).alias("line", "unit"))
     several = rows.where(F.col("t").contains("\n")).select("id", F.lit(-1).alias("line"), F.col("t").alias("unit"))
-    # A unit of n words and b bigrams has b < n; spaces bound the words from above, before anything is extracted.
-    units = lines.union(several).where(F.col("unit").rlike(f"[^{SPACE}]"))
-    found = units.withColumn("b", bigrams(normalised_words(F.col("unit")))).select("id", "line", "b", F.size("b").alias("n")).where(fits(F.col("n")))
+    units = lines.union(several).withColumn("words", normalised_words(F.col("unit"))).where(F.arrays_overlap("words", anchors))
+    found = units.withColumn("b", bigrams(F.col("words"))).select("id", "line", "b", F.size("b").alias("n")).where(fits(F.col("n")))
     shared = found.select("id", "line", "n", F.explode("b").alias("bigram")).join(F.broadcast(fixed), "bigram").where(
         F.col("n").between(F.col("size") * least, F.col("size") * most))
     scored = shared.groupBy("id", "line", "n", "license", "wording", "size").agg(F.count(F.lit(1)).alias("both")).select(

@@ -36,7 +36,7 @@ class DomainModel:
 
 @dataclass(frozen=True)
 class Mixture:
-    """Fitted rates: ``steps`` are the gradient steps (one number per domain each) that lead from 1 to the rates."""
+    """Fitted rates: ``steps`` are the gradient steps (a momentum and one number per domain each) from 1 to the rates."""
 
     domains: list[str]
     steps: list[list[float]]
@@ -100,26 +100,33 @@ def posteriors(docs: DataFrame, model: DomainModel, text_column: str = "text") -
     return docs.withColumn("__mix", F.arrow_udf(run, "n_tokens bigint, p array<int>")(F.col(text_column)))
 
 
-def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """The rate of a posterior: from 1 on, each step is taken and projected onto rates of at least 0."""
+def rates_of(p: Column, steps: list[list[float]]) -> Column:
+    """(rate, ahead) of a posterior after all steps, from 1 on.
+
+    Each step is a momentum and a move for each domain: the rate is the last ``ahead`` moved and projected onto rates of
+    at least 0, the new ``ahead`` is the rate pushed on by the momentum.
+    """
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
-        return F.lit(1.0)
+        return start
     taken = F.from_json(F.lit(str(steps)), "array<array<double>>")
 
-    def one(rate, step):
-        moved = F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(0.0), rate - moved / GRID)
+    def one(state, step):
+        moved = F.aggregate(F.zip_with(p, F.slice(step, 2, F.size(p)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        rate = F.greatest(F.lit(0.0), state["ahead"] - moved / GRID)
+        return F.struct(rate.alias("rate"), (rate + step[0] * (rate - state["rate"])).alias("ahead"))
 
-    return F.aggregate(taken, F.lit(1.0), one)
+    return F.aggregate(taken, start, one)
 
 
 def fit_rates(cells: DataFrame, targets: list[float], domains: list[str]) -> Mixture:
-    """Projected gradient over ``cells`` (p, tokens): minimise the squared misses of the domain totals, each relative
-    to the domain's weight in the corpus.
+    """Accelerated projected gradient over ``cells`` (p, tokens): minimise the squared misses of the domain totals,
+    each relative to the domain's weight in the corpus.
 
     Changes of a rate are weighed by the document's tokens, so the gradient of a rate is the posterior times the
-    misses. Only K sums reach the driver in each round. Rounds end when all targets are met to ``TOLERANCE`` or the
-    misses no longer change (targets that cannot be met).
+    misses. Momentum starts anew whenever the misses grow. Only 2 K sums reach the driver in each round. Rounds end
+    when all targets are met to ``TOLERANCE``, when the rates no longer move (targets that cannot be met), or after
+    ``MAX_STEPS``.
     """
     k = len(domains)
     p = [F.col("p")[i] / GRID for i in range(k)]
@@ -127,18 +134,21 @@ def fit_rates(cells: DataFrame, targets: list[float], domains: list[str]) -> Mix
     g = np.array([float(x) for x in gram]).reshape(k, k)
     scale = np.where(np.diag(g) > 0, np.diag(g), np.inf)
     eta = 1.0 / max(np.linalg.eigvalsh(g / np.sqrt(np.outer(scale, scale)))[-1], 1e-12)
-    want, steps, last = np.array(targets, float), [], None
+    want, steps, age, last, still = np.array(targets, float), [], 1, np.inf, 0
+    close = TOLERANCE * max(want.sum(), 1.0)
+    before = np.full(k, np.inf)
     while True:
-        sums = cells.withColumn("r", rate_of(F.col("p"), steps)).agg(
-            *[F.coalesce(F.sum(F.col("r") * p[i] * F.col("tokens")), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
-        totals = np.array([float(x) for x in sums])
-        miss = totals - want
-        if np.abs(miss).max() <= TOLERANCE * max(want.sum(), 1.0) or len(steps) >= MAX_STEPS:
-            break
-        if last is not None and np.abs(miss - last).max() <= 1e-3 * TOLERANCE * max(want.sum(), 1.0):
+        state = cells.select("p", "tokens", rates_of(F.col("p"), steps).alias("s"))
+        sums = state.agg(*[F.coalesce(F.sum(F.col(f"s.{x}") * p[i] * F.col("tokens")), F.lit(0.0)).alias(f"{x}{i}") for x in ("rate", "ahead") for i in range(k)]).first()
+        totals, ahead = np.array([float(x) for x in sums[:k]]), np.array([float(x) for x in sums[k:]])
+        still = still + 1 if np.abs(totals - before).max() <= 1e-2 * close else 0
+        if np.abs(totals - want).max() <= close or still > 2 or len(steps) >= MAX_STEPS:
             break
-        last = miss
-        steps.append([float(x) for x in eta * miss / scale])
+        before = totals
+        cost = float(((totals - want) ** 2 / scale).sum())
+        age = 1 if cost > last else age + 1
+        last = cost
+        steps.append([(age - 1) / (age + 2), *(float(x) for x in eta * (ahead - want) / scale)])
     return Mixture(domains, steps, [float(x) for x in want], totals.tolist())
 
 
@@ -163,7 +173,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
         held = F.lit(1.0) if anchor is None else F.col("p")[domains.index(anchor)] / GRID * share / weights[anchor]
         total = float(cells.agg(F.coalesce(F.sum(held * F.col("tokens")), F.lit(0.0))).first()[0])
     fitted = fit_rates(cells, [total * weights[d] / share for d in domains], domains)
-    rates = cells.select(F.col("p").alias("__p"), rate_of(F.col("p"), fitted.steps).alias("__rate"))
+    rates = cells.select(F.col("p").alias("__p"), rates_of(F.col("p"), fitted.steps)["rate"].alias("__rate"))
     with_mix = posteriors(docs, model, text_column)
     if comb(GRID + len(domains) - 1, len(domains) - 1) <= BROADCAST_CELLS:  # no more cells exist
         rates = F.broadcast(rates)

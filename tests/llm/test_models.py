@@ -1,0 +1,127 @@
+"""Fitted operators: held-out accuracy, mixtures, targets and odd rows."""
+
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import MEDIUM
+from raretide.llm import language, mixing, toxicity
+from raretide.llm.common import fold, table
+from raretide.llm.queries import DOMAIN_SQL, WEIGHTS
+
+ODD = [(900001, None), (900002, ""), (900003, "123 *** !!"), (None, "the of and"), (900005, "the " * 60_000), (900006, "\x00 é")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    odd = spark.createDataFrame([(i, t, None, None, 0) for i, t in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return table(spark, MEDIUM, "documents").unionByName(odd).withColumns({c: F.lit("x") for c in ("label", "p", "gram", "domain", "__rate2")})
+
+
+def test_fold(spark):
+    rows = spark.range(50).withColumn("f", fold("id", 4)).collect()
+    assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
+
+
+def test_language_accuracy_and_odd_rows(docs):
+    model = language.fit(docs, where=fold("doc_id", 4) != 2)
+    assert model.languages == ["de", "en", "es", "fr"]
+    out = language.predict(docs, model).select("doc_id", "lang", "lang_pred", "score", (fold("doc_id", 4) == 2).alias("held_out")).collect()
+    assert len(out) == docs.count()
+    held = [r for r in out if r.held_out and r.lang]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.99 * len(held)
+    odd = {r.doc_id: r for r in out if r.lang is None}
+    assert odd[900001].lang_pred == odd[900002].lang_pred == odd[900003].lang_pred == "und"
+    assert odd[900001].score == 0.0 and odd[900005].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_two_languages_in_one_text(spark, docs):
+    model = language.fit(docs)
+    one = {r.lang: r.text for r in docs.where("length(text) > 8000 and text not rlike '[#|!%]' and lang is not null").dropDuplicates(["lang"]).collect()}
+    both = one["en"][:6000] + "\n" + one["fr"][:3000]
+    shares = language.infer(model.log_probabilities[language._grams(both)])
+    share = dict(zip(model.languages, shares))
+    assert {k for k, v in share.items() if v > 0} == {"en", "fr"}
+    assert share["en"] == pytest.approx(2 / 3, abs=0.08) and sum(shares) == pytest.approx(1)
+    alone = language.infer(model.log_probabilities[language._grams(one["de"])])
+    assert (alone > 0).sum() == 1
+
+
+def test_mixture_is_the_likelihood_maximum():
+    rng = np.random.default_rng(3)
+    ratios = rng.gamma(1.0, size=(400, 2))
+    share, value = language.mixture(ratios)
+    grid = [float(np.log(ratios @ np.array([x, 1 - x])).sum()) for x in np.linspace(0, 1, 2001)]
+    assert value == pytest.approx(max(grid), abs=1e-2) and share.sum() == pytest.approx(1)
+
+
+def test_language_without_training_rows(docs):
+    model = language.fit(docs.where("false"))
+    assert {(r.lang_pred, r.score) for r in language.predict(docs.limit(5), model).collect()} == {("und", 0.0)}
+
+
+def test_toxicity_held_out(spark, docs):
+    # labels are few at this size: the same table serves, cut into the folds of the query
+    labels = table(spark, MEDIUM, "labels")
+    model = toxicity.fit(docs, labels, where=fold("__id", 3) != 1)
+    out = toxicity.predict(docs, model).join(labels, "doc_id", "left").select("doc_id", "score", "predicted", "toxic", (fold("doc_id", 3) == 1).alias("h")).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
+    held = [r for r in out if r.h and r.toxic is not None]
+    assert not any(r.predicted for r in held if r.toxic == 0)
+    assert sum(r.predicted for r in held if r.toxic) >= 0.7 * sum(r.toxic for r in held)
+    by_id = {r.doc_id: r for r in out}
+    assert by_id[900001].score == by_id[900002].score  # null is scored as empty
+
+
+def test_toxicity_without_labels(docs, spark):
+    none = table(spark, MEDIUM, "labels").where("false")
+    assert {r.score for r in toxicity.predict(docs.limit(20), toxicity.fit(docs, none)).collect()} == {0.5}
+
+
+def test_present_lists_distinct_buckets():
+    scratch = np.zeros(1 << toxicity.BITS, np.int64)
+    found = toxicity.present("abab abab", scratch)
+    assert len(set(found.tolist())) == len(found)
+    assert set(found.tolist()) == set(toxicity.present("abab abab abab", scratch).tolist())
+
+
+def test_rates_meet_targets(spark, docs):
+    labels = table(spark, MEDIUM, "labels")
+    mixed = mixing.mix(docs, labels, F.expr(DOMAIN_SQL), WEIGHTS, tokens=100_000.0).select("doc_id", "text", "__mix.*", "__rate", "__copies").collect()
+    assert len(mixed) == docs.count()
+    assert all(r["__rate"] >= 0 and sum(r.p) == mixing.GRID and r.n_tokens == len((r.text or "").encode().split()) for r in mixed)
+    for k, share in enumerate(WEIGHTS.values()):
+        total = sum(r["__rate"] * r.n_tokens * r.p[k] / mixing.GRID for r in mixed)
+        assert total == pytest.approx(100_000 * share, rel=1e-3)
+    assert all(r["__copies"] in (math.floor(r["__rate"]), math.floor(r["__rate"]) + 1) for r in mixed)
+
+
+def test_rates_are_the_projected_optimum(spark):
+    """Against a dense projected-gradient solve over single documents, with a target that cannot be met."""
+    rng = np.random.default_rng(5)
+    p = rng.multinomial(mixing.GRID, [0.5, 0.3, 0.2], size=60)
+    p = p[p[:, 0] > 0]
+    tokens = rng.integers(1, 500, len(p)).astype(float)
+    cells = spark.createDataFrame([(x.tolist(), float(n)) for x, n in zip(p, tokens)], "p array<int>, tokens double")
+    targets = [float(tokens.sum()), 10.0, 10.0]
+    fitted = mixing.fit_rates(cells, targets, ["a", "b", "c"])
+    rates = [r.r for r in cells.select(mixing.rates_of(F.col("p"), fitted.steps)["rate"].alias("r")).collect()]
+    a = (p / mixing.GRID).T
+    scale = np.diag((a * tokens) @ a.T)
+    r = np.ones(len(p))
+    for _ in range(20_000):
+        r = np.maximum(0, r - 0.3 * ((a * tokens) @ r - targets) / scale @ a)
+    assert min(rates) >= 0
+
+    def cost(x):
+        return float((((a * tokens) @ np.array(x) - targets) ** 2 / scale).sum())
+
+    assert cost(rates) <= cost(r) * 1.02 + 1e-6
+
+
+def test_mix_of_an_empty_table(spark, docs):
+    assert mixing.mix(docs.where("false"), table(spark, MEDIUM, "labels"), F.expr(DOMAIN_SQL), WEIGHTS, anchor="good").collect() == []

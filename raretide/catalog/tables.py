@@ -27,14 +27,23 @@ def _(spark, d):
 def _(spark, d):
     path = new_path(spark, "users-csv")
     clean.rename(raw_table(spark, d, "users"), {"client_id": "id"}).write.csv(path, header=True)
-    return files.read_csv(spark, path, files.USERS_SCHEMA)
+    return files.read_csv(spark, path, files.USERS_SCHEMA, {"id": "client_id"})
 
 
 @query("src1_read_cards_csv", "SRC1", "PRJ1", sql="SELECT * FROM cards")
 def _(spark, d):
     path = new_path(spark, "cards-csv")
     clean.rename(raw_table(spark, d, "cards"), {"card_id": "id"}).write.csv(path, header=True)
-    return files.read_csv(spark, path, files.CARDS_SCHEMA)
+    return files.read_csv(spark, path, files.CARDS_SCHEMA, {"id": "card_id"})
+
+
+@query("src1_read_shuffled_users_csv", "SRC1", "PRJ1", sql="SELECT *, CAST(current_age AS VARCHAR) AS extra FROM users")
+def _(spark, d):
+    """A file whose columns stand in another order and which has one more."""
+    path = new_path(spark, "users-shuffled-csv")
+    users = clean.rename(raw_table(spark, d, "users").withColumn("extra", F.col("current_age").cast("string")), {"client_id": "id"})
+    users.select(*sorted(users.columns, reverse=True)).write.csv(path, header=True)
+    return files.read_csv(spark, path, files.USERS_SCHEMA, {"id": "client_id"})
 
 
 @query("src2_read_mcc_json", "SRC2", "SCL2", sql="SELECT mcc, description FROM mcc_codes")

@@ -25,8 +25,8 @@ def read_inputs(spark: SparkSession, folder: str) -> RawInputs:
     return RawInputs(
         files.read_csv(spark, f"{folder}/transactions_data.csv", files.TRANSACTIONS_SCHEMA),
         files.read_json_map(spark, f"{folder}/mcc_codes.json"),
-        files.read_csv(spark, f"{folder}/users_data.csv", files.USERS_SCHEMA),
-        files.read_csv(spark, f"{folder}/cards_data.csv", files.CARDS_SCHEMA),
+        files.read_csv(spark, f"{folder}/users_data.csv", files.USERS_SCHEMA, {"id": "client_id"}),
+        files.read_csv(spark, f"{folder}/cards_data.csv", files.CARDS_SCHEMA, {"id": "card_id"}),
         files.read_label_object(spark, f"{folder}/train_fraud_labels.json"),
     )
 

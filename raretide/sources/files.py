@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 TRANSACTIONS_SCHEMA = (
     "id bigint, date timestamp_ntz, client_id bigint, card_id bigint, amount string, use_chip string, "
@@ -15,13 +18,22 @@ USERS_SCHEMA = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header and a declared schema, so no inference pass over the file.
+def read_csv(spark: SparkSession, path: str, schema: str, names: Mapping[str, str] | None = None) -> DataFrame:
+    """CSV with a header, its declared columns typed, without an inference pass over the file.
 
-    Columns are matched by the order of ``schema``; a leading ``id`` column of a dimension file can
-    therefore be read straight under its key name.
+    Columns are matched by name, in whatever order the file has them; ``names`` maps a column of the file to its
+    name in ``schema`` (a dimension's ``id`` to its key). Declared columns come first, in declared order; others
+    follow as text. A declared column that the header lacks is an error; a value that is not of its type is null.
     """
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
+    text = spark.read.csv(path, header=True)  # the header alone is read here; all columns are text
+    names = names or {}
+    found = {names.get(c, c): c for c in text.columns}
+    declared = StructType.fromDDL(schema)
+    if missing := [f.name for f in declared if f.name not in found]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    typed = [F.col(f"`{found[f.name]}`").try_cast(f.dataType).alias(f.name) for f in declared]
+    others = [F.col(f"`{c}`").alias(name) for name, c in found.items() if name not in declared.names]
+    return text.select(*typed, *others)
 
 
 def read_json_map(spark: SparkSession, path: str, key: str = "mcc", value: str = "description") -> DataFrame:

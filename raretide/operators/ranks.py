@@ -11,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from raretide.operators.joins import HOT_ROWS, MAX_HOT_KEYS, left_join_spread
+from raretide.operators.joins import HOT_ROWS, HotKeys, left_join_spread
+from raretide.session import stage
 
 PARTS = 200
 PART_ROWS = 100_000
@@ -62,15 +63,15 @@ def average_ranks(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROW
             return F.when(F.col(c).isNotNull(), (F.rank().over(w) + F.round(F.cume_dist().over(w) * rows)) / 2)
 
         return out.select(*[rank(c).alias(c) for c in columns])
-    out = out.withColumn("_row", F.xxhash64(*columns))
+    # Rows of one value are told apart by their place in a written copy, also where whole rows are equal.
+    out = stage(out, "rank-input").withColumn("_row", F.monotonically_increasing_id())
     for c in columns:
         found = value_positions(df, c)
-        hot = found.where(F.col("n") >= hot_rows).orderBy(F.col("n").desc()).limit(MAX_HOT_KEYS)
+        hot = HotKeys({r["value"]: r["n"] for r in found.where(F.col("n") >= hot_rows).select("value", "n").collect()}, hot_rows)
         ranks = found.select(
             F.col("value").alias(c), (F.col("before_n") + (F.col("n") + 1) / 2).alias("_rank")
         )
-        hot_values = [r["value"] for r in hot.collect()]
-        out = left_join_spread(out, ranks, [c], c, hot_values, "_row").withColumn(c, F.col("_rank")).drop("_rank")
+        out = left_join_spread(out, ranks, [c], c, hot, "_row").withColumn(c, F.col("_rank")).drop("_rank")
     return out.select(*columns)
 
 

@@ -40,7 +40,7 @@ def in_split(df: DataFrame, split: str) -> DataFrame:
     return df.where(F.col("split") == split)
 
 
-def join_dimensions(df: DataFrame, users: DataFrame, cards: DataFrame, hot=(), salts: int = 64) -> DataFrame:
+def join_dimensions(df: DataFrame, users: DataFrame, cards: DataFrame, hot=(), salts: int | None = None) -> DataFrame:
     """Users on ``client_id``, then cards on (``card_id``, ``client_id``), both left."""
     from raretide.operators.joins import left_join_spread
 

@@ -101,15 +101,16 @@ def truncate(c: Column | str, spec: str) -> Column:
     """Start of the tumbling window that holds ``c``.
 
     Minutes, hours and days are counted from the epoch; weeks start on Monday; months on the first.
-    The input type is kept (a zone-free timestamp stays zone-free).
+    The input type is kept (a zone-free timestamp stays zone-free); a null gives null for every unit.
     """
     c = _col(c)
     unit, n = parse_window(spec)
-    if unit == "minutes":
-        return F.window(c, f"{n} minutes")["start"]
-    if unit == "week":
-        # 1970-01-05 is a Monday, four days after the epoch
-        return F.window(c, f"{7 * n} days", startTime="4 days")["start"]
+    if unit != "month":
+        # a window drops rows without a time, so a stand-in takes their place first; 1970-01-05 is a Monday
+        present = F.coalesce(c, F.lit("1970-01-01").cast("timestamp_ntz"))
+        days = {"startTime": "4 days"} if unit == "week" else {}
+        start = F.window(present, f"{7 * n} days" if unit == "week" else f"{n} minutes", **days)["start"]
+        return F.when(c.isNotNull(), start)
     if n == 1:
         return F.date_trunc("month", c).cast("timestamp_ntz")
     months = (F.year(c) - 1970) * 12 + F.month(c) - 1

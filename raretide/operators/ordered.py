@@ -73,11 +73,11 @@ def previous_value(df: DataFrame, value: Column, order: str, chunk: Column, name
 
 def previous_frauds(df: DataFrame, window: str = "360m", chunk_windows: int = 10_000) -> DataFrame:
     """1 if the window before (of those present) had a fraud, 0 if not or if there is none."""
-    from raretide.functions.scalars import parse_window
+    from raretide.functions.scalars import parse_window, truncate
 
     unit, n = parse_window(window)
     minutes = {"minutes": n, "week": n * 10_080, "month": n * 43_200}[unit]
-    chunk = F.window("date_window", f"{minutes * chunk_windows} minutes")["start"]
+    chunk = truncate("date_window", f"{minutes * chunk_windows}m")
     flag = F.when(F.col("frauds") > 0, 1).otherwise(0)
     lagged = previous_value(df, flag, "date_window", chunk, "previous_frauds")
     return lagged.withColumn("previous_frauds", F.coalesce("previous_frauds", F.lit(0)))

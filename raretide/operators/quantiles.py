@@ -17,6 +17,19 @@ BRACKET_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
 
+def _literal(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"CAST('{x}' AS DOUBLE)"
+
+
+def _below(x: float) -> float:
+    """The largest number under ``x``. NaN comes last, behind infinity."""
+    return math.inf if math.isnan(x) else math.nextafter(x, -math.inf)
+
+
+def _above(x: float) -> float:
+    return math.nan if x == math.inf or math.isnan(x) else math.nextafter(x, math.inf)
+
+
 @dataclass
 class _Target:
     """One order statistic (0-based ``rank``) and the closed bracket that is known to hold it."""
@@ -25,16 +38,16 @@ class _Target:
     rank: int
     rows: int  # values inside the bracket
     below: int = 0  # values under it
-    low: float = -math.inf
-    high: float = math.inf
+    low: float | None = None  # no bound
+    high: float | None = None
     value: float | None = None
 
     def masked_sql(self) -> str:
         name, tests = f"`{self.column}`", [f"`{self.column}` IS NOT NULL"]
-        if self.low > -math.inf:
-            tests.append(f"{name} >= {self.low!r}D")
-        if self.high < math.inf:
-            tests.append(f"{name} <= {self.high!r}D")
+        if self.low is not None:
+            tests.append(f"{name} >= {_literal(self.low)}")
+        if self.high is not None:
+            tests.append(f"{name} <= {_literal(self.high)}")
         return f"CASE WHEN {' AND '.join(tests)} THEN {name} END"
 
 
@@ -77,7 +90,8 @@ def exact_quantiles(
     def at(c: str, p: float) -> float:
         h = (counts[c] - 1) * p
         low, high = targets[c, math.floor(h)].value, targets[c, math.ceil(h)].value
-        return low + (high - low) * (h - math.floor(h))
+        part = h - math.floor(h)
+        return low if part == 0 or low == high else low * (1 - part) + high * part
 
     none = {c: [None] * len(probs[c]) for c in columns}
     return {c: (direct[c] or none[c]) if c in direct else [at(c, p) for p in probs[c]] for c in columns}
@@ -101,16 +115,16 @@ def _narrow(data: DataFrame, wide: list[_Target], accuracy: int) -> None:
         # repeated very often is separated from its neighbours: [low,a) {a} (a,v) {v} (v,b) {b} (b,high]
         pieces, ends, low = [], [], t.low
         for name, cut in zip("avb", cuts[f"c{i}"]):
-            pieces += [(low, math.nextafter(cut, -math.inf)), (cut, cut)]
+            pieces += [(low, _below(cut)), (cut, cut)]
             ends += [found[f"{name}{i}_lt"], found[f"{name}{i}_le"]]
-            low = math.nextafter(cut, math.inf)
+            low = _above(cut)
         pieces.append((low, t.high))
         ends.append(t.rows)
         k = next(j for j, end in enumerate(ends) if t.rank - t.below < end)
         start = ends[k - 1] if k else 0
         t.low, t.high = pieces[k]
         t.below, t.rows = t.below + start, ends[k] - start
-        if t.low == t.high:
+        if t.low is not None and t.high is not None and (t.low == t.high or math.isnan(t.low)):
             t.value = t.low
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from raretide.functions import probability as P
-from raretide.operators.likelihood import ETA_LIMIT, count_terms, inflated_terms
+from raretide.operators.likelihood import count_terms, inflated_terms
 from raretide.operators.moments import sum_cells
 
 CONST = "const"
@@ -129,7 +129,7 @@ class Fit:
         for name, b in self.part(part).items():
             term = F.lit(b) if name == CONST else F.lit(b) * F.col(f"`{name}`")
             out = term if out is None else out + term
-        return F.least(F.greatest(out, F.lit(-ETA_LIMIT)), F.lit(ETA_LIMIT))
+        return out
 
     def mu(self) -> Column:
         return F.exp(self._linear("count"))

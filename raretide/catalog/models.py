@@ -401,7 +401,7 @@ def _(spark, d):
 @query("dia11_durbin_watson", "DIA11", "WFN5", sql=f"""WITH {_R}, l AS (SELECT e, e - lag(e) OVER (ORDER BY date_window) AS d FROM res)
   SELECT {r('sum(d * d) / sum(e * e)', 'durbin_watson')} FROM l""")
 def _(spark, d):
-    return D.durbin_watson(_residuals(spark, d), chunk=F.dayofyear("date_window"))
+    return D.durbin_watson(_residuals(spark, d))
 
 
 # -- tournament --------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ from raretide.operators.windows import WINDOW
 CATEGORIES = ("city", "country", "description")
 N_CLUSTERS = 3
 SEED, STARTS = 42, 10
-SKETCH_POINTS, MAX_PASSES = 100, 60
+SKETCH_POINTS, MAX_PASSES = 100, 300
 
 
 def risk_ratio(positives: Column, rows: Column) -> Column:
@@ -61,7 +62,7 @@ def _lloyd_sums(centres: dict[tuple[int, int], np.ndarray]):
     return of_block
 
 
-def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS) -> list[list[float]]:
+def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS, max_passes: int = MAX_PASSES) -> list[list[float]]:
     """Ascending k-means centres per group of ``points`` (group, value, weight).
 
     ``STARTS`` seeded starts per group, the one of least cost wins. All groups and starts share each pass
@@ -83,7 +84,7 @@ def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS) -> list
 
     active, cost = dict(centres), {}
     partitions = points.rdd.getNumPartitions()
-    for _ in range(MAX_PASSES):
+    for _ in range(max_passes):
         sums = sum_cells(points, _lloyd_sums(active), partitions)
         moved = {}
         for i, key in enumerate(sorted(active)):
@@ -97,6 +98,8 @@ def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS) -> list
         active = moved
         if not active:
             break
+    if active:
+        warnings.warn(f"{len(active)} k-means starts still moved after {max_passes} passes", stacklevel=2)
     best = []
     for group in range(groups):
         starts = [(cost[group, s], tuple(centres[group, s])) for s in range(STARTS) if (group, s) in cost]

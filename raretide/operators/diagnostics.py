@@ -17,7 +17,7 @@ from raretide.operators.regress import Fit
 from raretide.operators.windows import WINDOW
 
 RESIDUAL_BINS = 50
-SHAPIRO_P_ROWS = 5_000
+APPROXIMATED_ROWS = 5_000
 
 
 def likelihood_ratio(smaller_llf: float, larger_llf: float, df: int = 1) -> dict:
@@ -95,20 +95,23 @@ def _poly(coefficients: Sequence[float], x: float) -> float:
 
 
 def shapiro_wilk(df: DataFrame, column: str = "resid_pearson") -> dict:
-    """W from the ordered values; p up to 5,000 rows, where its approximation is defined.
+    """W from the ordered values, and p for any number of values from three on.
+
+    The fit behind p was made up to 5,000 rows; beyond, it is extrapolated and the result is marked ``approximate``.
 
     The weights are functions of the position, so W needs one aggregate over the ordered values; only the two
     outer values on each side come to the driver.
     """
     n = df.where(F.col(column).isNotNull()).count()
-    if n < 6:
-        raise ValueError("at least six values are needed")
+    if n < 3:
+        raise ValueError("at least three values are needed")
+    apart = 2 if n > 5 else 1  # outer values on each side with a weight of their own
     point = P.normal_quantile((F.col("position") - 0.375) / (n + 0.25))
 
     def at(i: int) -> Column:
         return F.max(F.when(F.col("position") == i, F.col("value")))
 
-    inner = F.col("position").between(3, n - 2)
+    inner = F.col("position").between(apart + 1, n - apart)
     row = ordered_values(df, column).agg(
         F.sum(point * point).alias("mm"),
         F.sum(F.when(inner, point * F.col("value")).otherwise(0.0)).alias("mx"),
@@ -116,25 +119,33 @@ def shapiro_wilk(df: DataFrame, column: str = "resid_pearson") -> dict:
         *[at(i).alias(f"x{i}") for i in (1, 2, n - 1, n)],
     ).first()
     if not row["ss"]:
-        return {"n": n, "statistic": 1.0, "p_value": 1.0}
+        return {"n": n, "statistic": 1.0, "p_value": 1.0, "approximate": n > APPROXIMATED_ROWS}
     outer = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in (n, n - 1)]
     root, mm = 1 / math.sqrt(n), row["mm"]
     a1 = _poly(LAST_WEIGHT, root) + outer[0] / math.sqrt(mm)
     a2 = _poly(NEXT_WEIGHT, root) + outer[1] / math.sqrt(mm)
-    phi = (mm - 2 * outer[0] ** 2 - 2 * outer[1] ** 2) / (1 - 2 * a1**2 - 2 * a2**2)
-    top = row["mx"] / math.sqrt(phi) + a1 * (row[f"x{n}"] - row["x1"]) + a2 * (row[f"x{n - 1}"] - row["x2"])
+    if n == 3:
+        a1, phi = math.sqrt(0.5), 1.0
+    elif apart == 1:
+        phi = (mm - 2 * outer[0] ** 2) / (1 - 2 * a1**2)
+    else:
+        phi = (mm - 2 * outer[0] ** 2 - 2 * outer[1] ** 2) / (1 - 2 * a1**2 - 2 * a2**2)
+    top = row["mx"] / math.sqrt(phi) + a1 * (row[f"x{n}"] - row["x1"])
+    if apart == 2:
+        top += a2 * (row[f"x{n - 1}"] - row["x2"])
     w = min(1.0, top * top / row["ss"])
-    if n > SHAPIRO_P_ROWS:
-        return {"n": n, "statistic": w, "p_value": None}
+    out = {"n": n, "statistic": w, "approximate": n > APPROXIMATED_ROWS}
+    if n == 3:
+        return out | {"p_value": max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))}
     y, ln_n = math.log(max(1 - w, 1e-300)), math.log(n)
     if n <= 11:
         gamma = _poly(SMALL_SHIFT, n)
         if y >= gamma:
-            return {"n": n, "statistic": w, "p_value": 1e-99}
+            return out | {"p_value": 1e-99}
         y, mean, sd = -math.log(gamma - y), _poly(SMALL_MEAN, n), math.exp(_poly(SMALL_LN_SD, n))
     else:
         mean, sd = _poly(LARGE_MEAN, ln_n), math.exp(_poly(LARGE_LN_SD, ln_n))
-    return {"n": n, "statistic": w, "p_value": P.upper_tail((y - mean) / sd)}
+    return out | {"p_value": P.upper_tail((y - mean) / sd)}
 
 
 def dagostino_pearson(df: DataFrame, column: str = "resid_pearson") -> DataFrame:
@@ -176,10 +187,10 @@ def breusch_pagan_test(df: DataFrame, residual: str = "resid_pearson", fitted: s
 def durbin_watson(df: DataFrame, residual: str = "resid_pearson", order: str = WINDOW, chunk: Column | None = None) -> DataFrame:
     """Sum of squared differences between neighbours in ``order`` over the sum of squares.
 
-    ``chunk`` bounds the rows sorted together; by default a year of windows.
+    ``chunk`` bounds the rows sorted together and must grow with ``order``; by default a day of windows.
     """
     if chunk is None:
-        chunk = F.year(order)
+        chunk = F.to_date(order)
     lagged = previous_value(df, F.col(residual), order, chunk, "_before")
     difference = F.col(residual) - F.col("_before")
     return lagged.agg(

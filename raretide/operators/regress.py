@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,6 +21,7 @@ from raretide.operators.moments import sum_cells
 CONST = "const"
 FAMILIES = ("poisson", "negbin", "zip", "zinb")
 BOUNDARY = 15.0
+_WITHOUT_DISPERSION = {"zinb": "zip", "negbin": "poisson"}
 # A parameter beyond this, or this many rounds without a gain, means that the maximum is at infinity.
 DIVERGED, STALLED = 200.0, 5
 DECREMENT = 1e-12
@@ -109,6 +110,16 @@ class Fit:
     def alpha(self) -> float | None:
         return float(self.params[-1]) if self.spec.free_alpha else self.spec.alpha
 
+    def at_no_dispersion(self, spec: Spec, llnull: float) -> Fit:
+        """This fit as one of ``spec`` with alpha 0: on the boundary alpha has no standard error."""
+        k = self.params.size
+        cov = np.full((k + 1, k + 1), np.nan)
+        cov[:k, :k] = self.cov
+        hessian = np.full((k + 1, k + 1), np.nan)
+        hessian[:k, :k] = self.hessian
+        return replace(self, spec=spec, params=np.append(self.params, 0.0), cov=cov, gradient=np.append(self.gradient, 0.0),
+                       hessian=hessian, llnull=llnull)
+
     def part(self, name: str) -> dict[str, float]:
         """Coefficients of the ``count`` or the ``classification`` part by regressor."""
         skip = (len(self.spec.inf) + 1) if self.spec.inflated else 0
@@ -149,7 +160,7 @@ class Fit:
     def ln_probability(self, y: Column) -> Column:
         ln_count = (
             P.ln_negative_binomial(y, self.mu(), self.alpha)
-            if self.spec.family in ("negbin", "zinb")
+            if self.spec.family in ("negbin", "zinb") and self.alpha
             else P.ln_poisson(y, self.mu())
         )
         return P.ln_zero_inflated(y, ln_count, self.pi()) if self.spec.inflated else ln_count
@@ -220,6 +231,9 @@ class _State:
         edge = s.inflated and not s.inf and self.point[0] < -BOUNDARY
         return bool(edge or (s.free_alpha and self.point[-1] < -BOUNDARY))
 
+    def without_dispersion(self) -> bool:
+        return self.spec.free_alpha and not (self.done and self.ok) and self.point[-1] < -BOUNDARY
+
     def _definite(self) -> bool:
         return bool(np.linalg.eigvalsh(-self.hessian).min() > 0)
 
@@ -368,10 +382,18 @@ def fit_models(
             if s.point is None or s.score is None:
                 s.done = True
     nulls = llnull or {}
-    return [
+    fits = [
         None if s.point is None or s.score is None else s.result(cov_type, nulls.get(null_key(s.spec), math.nan))
         for s in states
     ]
+    # Where the dispersion vanishes, the maximum is the nested model without it.
+    bare = [i for i, s in enumerate(states) if fits[i] is not None and s.without_dispersion()]
+    if bare:
+        nested = [Spec(_WITHOUT_DISPERSION[specs[i].family], specs[i].exog, specs[i].inf, link=specs[i].link) for i in bare]
+        for i, f in zip(bare, fit_models(df, y, nested, cov_type, weight, [states[i].point[:-1] for i in bare], max_rounds=max_rounds)):
+            if f is not None and f.converged and f.llf >= fits[i].llf - 1e-6 * (1 + abs(fits[i].llf)):
+                fits[i] = f.at_no_dispersion(specs[i], fits[i].llnull)
+    return fits
 
 
 def null_key(spec: Spec) -> str:

@@ -78,7 +78,8 @@ def converged_basic(f: Fit) -> bool:
 
 
 def numerically_stable(f: Fit) -> bool:
-    if np.isfinite(f.hessian).all() and np.linalg.cond(f.hessian) > MAX_CONDITION:
+    held = f.hessian[:-1, :-1] if f.spec.free_alpha and f.alpha == 0 else f.hessian
+    if np.isfinite(held).all() and np.linalg.cond(held) > MAX_CONDITION:
         return False
     return not (np.any(f.bse > MAX_STD_ERROR) or np.any(np.abs(f.params) > MAX_PARAMETER))
 
@@ -90,7 +91,8 @@ def converged_advanced(f: Fit, fitted: tuple[float, float, float], max_rounds: i
         return False
     if not 0 <= low <= high <= MAX_FITTED or spread == 0:
         return False
-    if not np.all(np.diag(f.cov) > 0):
+    spread_of = np.diag(f.cov)[:-1] if f.spec.free_alpha and f.alpha == 0 else np.diag(f.cov)  # on the boundary alpha has none
+    if not np.all(spread_of > 0):
         return False
     width = f.conf_int()
     return not np.any(width[:, 1] - width[:, 0] > MAX_INTERVAL)

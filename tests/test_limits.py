@@ -100,3 +100,19 @@ def test_series_continues_the_table(count):
     g = j / (1 + 0.3 * j)
     for a, b in zip(got, (np.log1p(0.3 * j).sum(), g.sum(), (g * g).sum())):
         assert a[0] == pytest.approx(b, rel=1e-11)
+
+
+def test_zinb_without_dispersion_is_zip(spark):
+    """Zero-inflated Poisson counts: the negative binomial contains the fit, so its likelihood is no smaller."""
+    from raretide.operators.regress import Spec, fit_models
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=800)
+    y = np.where(rng.random(800) < 0.4, 0, rng.poisson(np.exp(0.8 + 0.4 * x)) // 2 + 1)  # less spread than Poisson
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, x)], "y int, x double").cache()
+    zinb, zip_ = fit_models(df, "y", [Spec("zinb", ("x",)), Spec("zip", ("x",))])
+    assert zinb.converged and zinb.alpha == 0.0 and zinb.llf == pytest.approx(zip_.llf, abs=1e-6)
+    assert zinb.params[:-1] == pytest.approx(zip_.params, abs=1e-4) and math.isnan(zinb.pvalues[-1])
+    negbin, poisson = fit_models(df.where("y > 0"), "y", [Spec("negbin", ("x",)), Spec("poisson", ("x",))])
+    assert negbin.converged and negbin.llf == pytest.approx(poisson.llf, abs=1e-6)
+    assert df.select(zinb.ln_probability(F.col("y")).alias("l")).where("isnan(l) or l is null").count() == 0

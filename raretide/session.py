@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed on them.
+
+    The functions that run inside tasks are looked up by name there. Not needed where the package is installed on
+    every node or named in ``spark.submit.pyFiles``.
+    """
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="raretide-")) / package.name), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)

@@ -24,6 +24,7 @@ EVIDENCE = 64
 GRID = 100
 # The rates of all cells are sent to every task if the grid has at most this many cells; else they are joined.
 BROADCAST_CELLS = 200_000
+CELLS_PER_TASK = 50_000
 MAX_STEPS, TOLERANCE = 400, 1e-6
 
 
@@ -166,7 +167,10 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
     domains = list(weights)
     model = fit_domains(docs, labels, domain, domains, id_column, text_column, rows)
     scored = posteriors(docs.select(F.col(text_column).alias("text")), model, "text").select("__mix.*")
-    cells = stage(scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    bound = comb(GRID + len(domains) - 1, len(domains) - 1)  # cells of the grid
+    summed = scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens"))
+    # Every step reads the cells again: a few files of many cells, not one per shuffle partition.
+    cells = stage(summed.repartition(-(-bound // CELLS_PER_TASK)) if bound <= BROADCAST_CELLS else summed, "mix-cells")
     share = sum(weights.values())
     total = tokens
     if total is None:
@@ -175,7 +179,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, f
     fitted = fit_rates(cells, [total * weights[d] / share for d in domains], domains)
     rates = cells.select(F.col("p").alias("__p"), rates_of(F.col("p"), fitted.steps)["rate"].alias("__rate"))
     with_mix = posteriors(docs, model, text_column)
-    if comb(GRID + len(domains) - 1, len(domains) - 1) <= BROADCAST_CELLS:  # no more cells exist
+    if bound <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
     dealt = with_mix.join(rates, with_mix["__mix.p"] == rates["__p"], "left").drop("__p")
     u = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -17,7 +17,7 @@ ORDERS, BITS = (3, 5), 19
 # Labelled rows used for fitting, at most: those with the smallest hash of the id.
 FIT_ROWS = 20_000
 # An n-gram is used when its log-count ratio is at least this, and this many standard errors from zero.
-MIN_RATIO, MIN_DEVIATIONS = 1.0, 2.5
+MIN_RATIO, MIN_DEVIATIONS = 0.7, 3.5
 ROUNDS, STEP, RIDGE = 200, 0.3, 1e-3
 
 
@@ -27,26 +27,30 @@ class ToxicityModel:
     weights: np.ndarray  # per bucket: log-count ratio times coefficient; 0 where the n-gram is not used
 
 
-def present(text: str, scratch: np.ndarray) -> np.ndarray:
-    """Distinct buckets of the text's n-grams. ``scratch`` holds 2**BITS numbers of any value."""
+def grams(text: str) -> np.ndarray:
+    """Buckets of all n-grams of the text, repeats included."""
     data = letter_bytes(text)
     windows = byte_windows(data)
-    found = np.concatenate([gram_buckets(windows[: max(0, len(data) - k + 1)], k, BITS) for k in ORDERS])
-    order = np.arange(len(found))
-    scratch[found] = order
-    return found[scratch[found] == order]
+    return np.concatenate([gram_buckets(windows[: max(0, len(data) - k + 1)], k, BITS) for k in ORDERS])
+
+
+def features(text: str, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The used buckets that occur in the text, and for each ln(1 + occurrences)."""
+    found = grams(text)
+    buckets, n = np.unique(found[used[found]], return_counts=True)
+    return buckets, np.log1p(n)
 
 
 def ratio_table(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Document counts per bucket among rows labelled 1 and 0, and the numbers of such rows."""
+    """Occurrences per bucket in rows labelled 1 and 0, and the numbers of such rows."""
     schema = pa.schema([("bucket", pa.int32()), ("ones", pa.int64()), ("zeros", pa.int64())])
 
     def run(batches):
-        counts, scratch = np.zeros((2, (1 << BITS) + 1), np.int64), np.zeros(1 << BITS, np.int64)
+        counts = np.zeros((2, (1 << BITS) + 1), np.int64)
         for batch in small_batches(batches):
             for text, label in zip(texts(batch, "text"), batch.column("label").to_pylist(), strict=True):
                 side = counts[0 if label else 1]
-                side[present(text, scratch)] += 1
+                np.add.at(side, grams(text), 1)
                 side[-1] += 1  # rows
         seen = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[0, seen]), pa.array(counts[1, seen])], schema=schema)
@@ -70,23 +74,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     sample = labelled_sample(docs, labels, F.col(label_column).cast("int"), id_column, text_column, where, rows)
     p, q, ones, zeros = ratio_table(sample)
     intercept = float(np.log((ones + 1) / (zeros + 1)))
-    ratio = np.log((p + 0.5) / (ones + 1)) - np.log((q + 0.5) / (zeros + 1))
+    ratio = np.log((p + 0.5) / (p.sum() + 0.5)) - np.log((q + 0.5) / (q.sum() + 0.5))
     used = (np.abs(ratio) >= MIN_RATIO) & (np.abs(ratio) >= MIN_DEVIATIONS * np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)))
     if not ones or not zeros or not used.any():
         return ToxicityModel(intercept, np.zeros(1 << BITS))
 
     def run(batches):
-        scratch = np.zeros(1 << BITS, np.int64)
         for batch in small_batches(batches):
-            found = [f[used[f]].astype(np.int32) for f in (present(t, scratch) for t in texts(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["label", "buckets"])
+            found = [features(t, used) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label").cast(pa.int32()), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())),
+                 pa.array([v for _, v in found], pa.list_(pa.float64()))], ["label", "buckets", "values"])
 
-    rows_read = sample.mapInArrow(run, "label int, buckets array<int>").toArrow()
+    rows_read = sample.mapInArrow(run, "label int, buckets array<int>, values array<double>").toArrow()
     y = (rows_read.column("label").to_numpy() > 0).astype(float)
     lists = rows_read.column("buckets").combine_chunks()
     index = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-    value, size = ratio[index], 1 << BITS
+    value, size = ratio[index] * rows_read.column("values").combine_chunks().flatten().to_numpy(), 1 << BITS
     w, b, seen, seen_b = np.zeros(size), intercept, np.full(size, 1e-8), 1e-8
     for _ in range(ROUNDS):
         error = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[index], len(y)) + b, -500, 500))) - y
@@ -104,16 +109,12 @@ def predict(docs: DataFrame, model: ToxicityModel, text_column: str = "text", th
     A null text is scored as the empty one, which has no n-grams: the intercept alone. Rows are neither dropped nor
     merged; existing columns named ``score`` or ``predicted`` are replaced.
     """
-    weights, intercept = model.weights.astype(np.float32), model.intercept
-
-    def run(batches):
-        scratch = np.zeros(1 << BITS, np.int64)
-        for column in batches:
-            z = [float(weights[present(t or "", scratch)].sum(dtype=np.float64)) + intercept for t in column.to_pylist()]
-            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500))), pa.float64())
+    weights, intercept, used = model.weights.astype(np.float32), model.intercept, model.weights != 0
 
-    from collections.abc import Iterator
+    def run(column: pa.Array) -> pa.Array:
+        found = (features(t or "", used) for t in column.to_pylist())
+        z = np.array([intercept + float(weights[buckets] @ value) for buckets, value in found], float)
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     scored = docs.withColumn("score", F.arrow_udf(run, "double")(F.col(text_column)))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -82,11 +82,13 @@ def test_toxicity_without_labels(docs, spark):
     assert {r.score for r in toxicity.predict(docs.limit(20), toxicity.fit(docs, none)).collect()} == {0.5}
 
 
-def test_present_lists_distinct_buckets():
-    scratch = np.zeros(1 << toxicity.BITS, np.int64)
-    found = toxicity.present("abab abab", scratch)
-    assert len(set(found.tolist())) == len(found)
-    assert set(found.tolist()) == set(toxicity.present("abab abab abab", scratch).tolist())
+def test_features_count_occurrences():
+    every = np.ones(1 << toxicity.BITS, bool)
+    once, twice = toxicity.features("idiot", every), toxicity.features("idiot idiot", every)
+    assert set(once[0].tolist()) <= set(twice[0].tolist()) and len(set(twice[0].tolist())) == len(twice[0])
+    n = dict(zip(twice[0].tolist(), twice[1].tolist()))
+    assert all(n[b] == pytest.approx(np.log(3)) for b in once[0].tolist())
+    assert toxicity.features("idiot", ~every)[0].size == 0
 
 
 def test_rates_meet_targets(spark, docs):

@@ -10,7 +10,7 @@ from raretide.llm.common import fold, stage, table
 from raretide.llm.queries import ANCHOR, DOMAIN_SQL, RANKS, WEIGHTS
 
 # A text is rejected if it has no letters or less than this share of it is in its main language.
-LEAST_LANGUAGE_SHARE = 0.5
+LEAST_LANGUAGE_SHARE = 0.3
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:

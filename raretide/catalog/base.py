@@ -61,9 +61,10 @@ def clean_rows(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_transactions(labelled_rows(spark, d))
 
 
-def staged_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Clean rows written once, for plans that read them several times."""
-    return stage(clean_rows(spark, d), "clean-rows")
+def staged_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Clean rows written once, for plans that read them several times: all columns, or only those that are named."""
+    rows = clean_rows(spark, d)
+    return stage(rows.select(*columns) if columns else rows, "clean-rows")
 
 
 MODEL_FEATURES = ("transactions", "mean_amount", "online_share", "error_share")

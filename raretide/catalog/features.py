@@ -75,9 +75,12 @@ _BASE_SQL = f"""SELECT date_window, CAST(sum(target) AS BIGINT) AS frauds,
   {r('count(target) / count(DISTINCT merchant_id)', 'transaction_per_merchant')} FROM w360 GROUP BY date_window"""
 
 
+_BASE = ("date", "target", "amount", "client_id", "merchant_id")
+
+
 @query("agg6_base_features", "AGG6", sql=_BASE_SQL)
 def _(spark, d):
-    return W.base_features(W.add_window(staged_rows(spark, d), "360m"))
+    return W.base_features(W.add_window(staged_rows(spark, d, *_BASE), "360m"))
 
 
 _RISK = """CASE WHEN n = s THEN 100.0 ELSE least(1.0 * s / (n - s), 100.0) END"""
@@ -128,7 +131,7 @@ def _(spark, d):
 def _(spark, d):
     from raretide.operators.joins import broadcast_if_small
 
-    rows = staged_rows(spark, d)
+    rows = staged_rows(spark, d, "id", "description", "target")
     scaled = C.min_max_scaled(C.category_risk(rows, "description"), "ab", "scaled")
     name = "target_description"
     clusters = scaled.select("description", C.nearest_centre(F.col("scaled"), _CENTRES).alias(name))
@@ -146,7 +149,7 @@ _UNIFORM = """WITH ends AS (SELECT min(amount / 1000) AS lo, max(amount / 1000)
     r(f"avg(CASE WHEN bin = {k} THEN 1.0 ELSE 0.0 END)", B.bin_column_name("amount", k)) for k in range(5)
 ) + " FROM binned GROUP BY date_window")
 def _(spark, d):
-    rows = W.add_window(staged_rows(spark, d), "360m")
+    rows = W.add_window(staged_rows(spark, d, "date", "amount"), "360m")
     return rows.groupBy(WIN).agg(*B.bin_shares(B.plan_bins(rows, columns=["amount"])))
 
 
@@ -228,13 +231,13 @@ _NUMERIC = ("amount", "per_capita_income", "total_debt", "credit_score", "credit
     f"SELECT '{c}' AS \"column\", {r(f'sum({c})::DOUBLE', 'sum')}, {r(f'min({c})::DOUBLE', 'min')}, {r(f'median({c})::DOUBLE', 'median')}, "
     f"{r(f'max({c})::DOUBLE', 'max')}, count(DISTINCT {c}) AS distinct_values FROM clean" for c in _NUMERIC))
 def _(spark, d):
-    return B.numeric_statistics(staged_rows(spark, d), _NUMERIC)
+    return B.numeric_statistics(staged_rows(spark, d, *_NUMERIC), _NUMERIC)
 
 
 @query("jn6_feature_blocks", "JN6", sql=f"""SELECT a.*, b.rows_with_error FROM ({_BASE_SQL}) a LEFT JOIN
   (SELECT date_window, count(*) AS rows_with_error FROM w360 WHERE errors IS NOT NULL GROUP BY 1) b USING (date_window)""")
 def _(spark, d):
-    rows = W.add_window(staged_rows(spark, d), "360m")
+    rows = W.add_window(staged_rows(spark, d, *_BASE, "errors"), "360m")
     block = rows.where(F.col("errors").isNotNull()).groupBy(WIN).agg(F.count(F.lit(1)).alias("rows_with_error"))
     return W.base_features(rows).join(block, WIN, "left")
 
@@ -243,7 +246,7 @@ def _(spark, d):
   (SELECT date_trunc('hour', date) AS date_window, count(*) AS online FROM clean WHERE online_sales = 'Yes' GROUP BY 1) a FULL JOIN
   (SELECT date_trunc('hour', date) AS date_window, count(*) AS bad FROM clean WHERE errors IS NOT NULL GROUP BY 1) b ON a.date_window = b.date_window""")
 def _(spark, d):
-    rows = W.add_window(staged_rows(spark, d), "1h")
+    rows = W.add_window(staged_rows(spark, d, "date", "online_sales", "errors"), "1h")
     online = rows.where(F.col("online_sales") == "Yes").groupBy(WIN).agg(F.count(F.lit(1)).alias("online"))
     bad = rows.where(F.col("errors").isNotNull()).groupBy(WIN).agg(F.count(F.lit(1)).alias("bad"))
     return online.join(bad, WIN, "full")
@@ -389,14 +392,14 @@ def _(spark, d):
 
 @query("fe7_cluster_target_fields", "FE7")
 def _(spark, d):
-    return C.cluster_target_fields(staged_rows(spark, d), "city")
+    return C.cluster_target_fields(staged_rows(spark, d, "city", "target"), "city")
 
 
 @query("fe8_bin_counts", "FE8", sql=" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(least(greatest(1, least(count(DISTINCT {c}) // 10, 5)), count(DISTINCT {c})) AS INT) AS n_bins FROM clean"
     for c in _NUMERIC))
 def _(spark, d):
-    rows = staged_rows(spark, d)
+    rows = staged_rows(spark, d, *_NUMERIC)
     planned = B.plan_bins(rows)
     few = [c for c in _NUMERIC if c not in planned]
     distinct = rows.agg(*[F.count_distinct(c).alias(c) for c in few]).first().asDict() if few else {}
@@ -406,7 +409,7 @@ def _(spark, d):
 
 @query("fe9_uniform_bins", "FE9", "FE11", "AGG20", sql=f"{_UNIFORM} SELECT id, bin FROM binned")
 def _(spark, d):
-    rows = staged_rows(spark, d)
+    rows = staged_rows(spark, d, "id", "amount")
     return rows.select("id", B.plan_bins(rows, columns=["amount"])["amount"].bin_of().alias("bin"))
 
 
@@ -416,7 +419,7 @@ _QEDGES = "WITH q AS (SELECT " + ", ".join(f"quantile_cont(amount / 1000, {k / 5
 @query("fe10_quantile_bins", "FE10", sql=_QEDGES + " SELECT c.id, " + " + ".join(
     f"CASE WHEN c.amount / 1000 >= q.e{k} THEN 1 ELSE 0 END" for k in range(1, 5)) + " AS bin FROM clean c CROSS JOIN q")
 def _(spark, d):
-    rows = staged_rows(spark, d)
+    rows = staged_rows(spark, d, "id", "amount")
     return rows.select("id", B.plan_bins(rows, "quantile", ["amount"])["amount"].bin_of().alias("bin"))
 
 
@@ -428,14 +431,14 @@ _INTERVALS = """WITH s AS (SELECT min(amount) AS lo, max(amount) AS hi, median(a
   true AS is_left_inclusive, i = 4 AS is_right_inclusive, 5 AS n_bins, 'uniform' AS strategy, 1000.0::DOUBLE AS scale_factor,
   {r('lo / 1000', 'min_value')}, {r('hi / 1000', 'max_value')}, {r('mid / 1000', 'median_value')} FROM s CROSS JOIN b""")
 def _(spark, d):
-    return B.interval_table(spark, B.plan_bins(staged_rows(spark, d), columns=["amount"]))
+    return B.interval_table(spark, B.plan_bins(staged_rows(spark, d, "amount"), columns=["amount"]))
 
 
 @query("fe12_intervals_original", "FE12", sql=_INTERVALS + f""" SELECT 'amount' AS "column", CAST(i AS INT) AS bin_id,
   {r('lo + i * ((hi - lo) / 5)', 'lower_bound')}, {r('lo + (i + 1) * ((hi - lo) / 5)', 'upper_bound')},
   {r('lo', 'min_value')}, {r('hi', 'max_value')}, {r('mid', 'median_value')} FROM s CROSS JOIN b""")
 def _(spark, d):
-    table = B.interval_table(spark, B.plan_bins(staged_rows(spark, d), columns=["amount"]), original=True)
+    table = B.interval_table(spark, B.plan_bins(staged_rows(spark, d, "amount"), columns=["amount"]), original=True)
     return table.select("column", "bin_id", "lower_bound", "upper_bound", "min_value", "max_value", "median_value")
 
 
@@ -445,7 +448,7 @@ def _(spark, d):
     f"CASE WHEN x >= lo + {k} * ((hi - lo) / 5) THEN 1 ELSE 0 END" for k in range(1, 5)) + " END AS bin FROM v")
 def _(spark, d):
     """Bins of the clean rows applied to every raw amount: negative ones are outside, some are made null."""
-    planned = B.plan_bins(staged_rows(spark, d), columns=["amount"])["amount"]
+    planned = B.plan_bins(staged_rows(spark, d, "amount"), columns=["amount"])["amount"]
     rows = clean.type_transactions(raw_table(spark, d, "transactions_raw"))
     value = F.when(F.col("merchant_id") % 7 != 0, F.col("amount"))
     return rows.select("id", planned.lookup(value).alias("bin"))
@@ -455,7 +458,7 @@ def _(spark, d):
 
 @query("fe13_category_features", "FE13", "FE5", "AGG8")
 def _(spark, d):
-    rows = W.add_window(staged_rows(spark, d), "360m")
+    rows = W.add_window(staged_rows(spark, d, "date", "target", *C.CATEGORIES), "360m")
     cells = stage(C.category_cells(rows, C.CATEGORIES), "cells")
     clusters = C.assign_clusters(stage(C.risk_of_cells(cells), "risk"), C.CATEGORIES)
     return C.cluster_mix(cells, clusters, C.CATEGORIES)
@@ -486,8 +489,12 @@ def _builder_sql(first: int = 0) -> str:
     return f"WITH ends AS (SELECT {ends} FROM clean), binned AS (SELECT *, {bins} FROM w360 CROSS JOIN ends) {base}"
 
 
+# What the builder reads of a row, besides the category columns.
+_BUILDER = tuple(dict.fromkeys((*_BASE, *W.SCALE_FACTORS, *W.UNSCALED_COLUMNS, *B.BINNED_COLUMNS)))
+
+
 def _without_categories(spark, d):
-    return staged_rows(spark, d).drop(*C.CATEGORIES)
+    return staged_rows(spark, d, *_BUILDER)
 
 
 @query("fe17_builder_numeric_part", "FE17", "FE9", sql=_builder_sql())
@@ -514,7 +521,7 @@ def _(spark, d):
 
 @query("plan3_window_builder", "PIPE3", "FE17", "FE13", "FE14")
 def _(spark, d):
-    return WindowDataBuilder(staged_rows(spark, d)).build("360m", remove_first_discretized=True)[0]
+    return WindowDataBuilder(staged_rows(spark, d, *_BUILDER, *C.CATEGORIES)).build("360m", remove_first_discretized=True)[0]
 
 
 @query("fe15_protected_columns", "FE15", sql=_BASE_SQL)
@@ -530,7 +537,7 @@ def _(spark, d):
 @query("fe18_feature_info", "FE18")
 def _(spark, d):
     """The configuration together with the bins found for the given rows."""
-    builder = WindowDataBuilder(staged_rows(spark, d))
+    builder = WindowDataBuilder(staged_rows(spark, d, *_BUILDER, *C.CATEGORIES))
     builder.features("360m")
     info = builder.get_feature_info()
     rows = [(c, c in builder.bins, info["discretization_strategy"], float(info["scale_factors"].get(c, 1)))

@@ -125,7 +125,7 @@ _DESCRIBED = ("amount", "credit_score", "current_age", "total_debt", "zip")
     f"{r(f'CAST(min({c}) AS DOUBLE)', 'min')}, {r(f'quantile_cont({c}, 0.25)', 'q25')}, {r(f'quantile_cont({c}, 0.5)', 'q50')}, "
     f"{r(f'quantile_cont({c}, 0.75)', 'q75')}, {r(f'CAST(max({c}) AS DOUBLE)', 'max')} FROM clean" for c in _DESCRIBED))
 def _(spark, d):
-    return profile.describe(staged_rows(spark, d), _DESCRIBED)
+    return profile.describe(staged_rows(spark, d, *_DESCRIBED), _DESCRIBED)
 
 
 # -- projections and filters -------------------------------------------------------------------------------

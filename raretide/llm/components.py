@@ -12,7 +12,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     if large:
         both = both.union(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join below is dealt anew and a node with very many links can be split.
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
     joined = both.join(least, "u")
     if large:  # larger neighbours point to the least of the neighbourhood
         moved = joined.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -31,7 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     hi, lo = F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
     now = stage(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(hi, lo).where("hi > lo").distinct(), "links")
     while True:
-        after = stage(_star(_star(now, True), False), "links")
+        after = stage(_star(stage(_star(now, True), "links"), False), "links")
         # Done when every node has one link, and it leads to a node that has none upwards.
         roots = after.groupBy("hi").agg(F.count(F.lit(1)).alias("n"))
         open_nodes = roots.where("n > 1").select("hi").union(after.join(after.select(F.col("hi").alias("lo")), "lo", "left_semi").select("hi"))

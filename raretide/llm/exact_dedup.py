@@ -140,6 +140,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     recipes = verified_recipes(docs, id_column, text_column, digest_bytes)
     groups = recipes.groupBy("recipe").agg(F.max(id_column).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = stage(groups, "recipe-groups")  # else the join would keep the aggregate's partitions, which cannot be split
     joined = recipes.join(groups.withColumnRenamed("recipe", "r"), F.col("recipe") == F.col("r"), "left")
     keep = F.when(F.col("group_size").isNull(), F.col(id_column)).otherwise(F.col("keep_id"))
     return joined.select(

@@ -114,7 +114,7 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     width = 4 * ROWS
     rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     rows = rows.select("node", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
     return rows.join(sizes, "bucket").select("bucket", "band", "node", "n")
 
 

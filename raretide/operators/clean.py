@@ -23,7 +23,7 @@ def clean_names(df: DataFrame) -> DataFrame:
 def require_columns(df: DataFrame, columns: Iterable[str] = REQUIRED_COLUMNS) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks {', '.join(missing)}")
 
 
 def type_transactions(df: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ class WindowDataBuilder:
     ) -> tuple[DataFrame, dict]:
         """The feature table in window order, and the bins of the numeric columns."""
         if not isinstance(window, str) or not window.strip():
-            raise ValueError("Window must be a non-empty string")
+            raise ValueError(f"not a window specification: {window!r}")
         table = stage(self.features(window, remove_first_discretized), "window-features")
         self.removed = []
         if remove_high_correlation:
@@ -134,7 +134,7 @@ class WindowDataBuilder:
 
     def _bins_of(self, column: str) -> B.Bins:
         if column not in self.bins:
-            raise ValueError(f"Column '{column}' was not discretized or does not exist")
+            raise ValueError(f"no bins are planned for {column!r}")
         return self.bins[column]
 
     def get_bin_for_value(self, column: str, value: float | None) -> int:

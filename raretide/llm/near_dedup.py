@@ -107,10 +107,7 @@ def signature_table(docs: DataFrame, id_column: str, text_column: str) -> DataFr
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, part, band, split, node): one row per text and band whose bucket holds other texts too.
-
-    ``part`` divides buckets of more than a block by as many further registers as their size needs.
-    """
+    """(bucket, band, node, n): one row per text and band whose bucket holds other texts too, ``n`` in all."""
     width = 4 * ROWS
     rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     rows = rows.select("node", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"))
@@ -119,12 +116,15 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def with_parts(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The bucket rows with their signatures, ready to be grouped by (bucket, part)."""
+    """The bucket rows with their signatures, ready to be grouped by (bucket, part).
+
+    ``part`` divides buckets of more than a block by as many further registers as their size needs.
+    """
     further = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK))).cast("int")
     part = F.expr(f"xxhash64(substring(concat(sig, sig), (band + 1) * {4 * ROWS} + 1, 4 * further))")
     return buckets.join(nodes, "node").withColumn("further", further).select(
-        "bucket", F.when(F.col("further") > 0, part).otherwise(F.lit(0)).cast("long").alias("part"), "band",
-        (F.col("further") > 0).alias("split"), "node", "sig", *[c for c in ("root",) if c in nodes.columns])
+        "bucket", F.when(F.col("further") > 0, part).otherwise(F.lit(0)).cast("long").alias("part"),
+        "node", "sig", *[c for c in ("root",) if c in nodes.columns])
 
 
 def _similar_to(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -146,17 +146,11 @@ def _tree(sigs: np.ndarray):
         best, link = np.where(closer, new, best), np.where(closer, node, link)
 
 
-def _across(sigs: np.ndarray, roots: np.ndarray, band: int, split: bool):
-    """Pairs of different components that reach the least estimate, in the first band that they share."""
+def _across(sigs: np.ndarray, roots: np.ndarray):
+    """Pairs of different components that reach the least estimate."""
     for i in range(1, len(sigs)):
         others = np.flatnonzero(roots[:i] != roots[i])
-        if not len(others):
-            continue
-        equal = sigs[others] == sigs[i]
-        near = equal.mean(axis=1) >= LEAST_ESTIMATE
-        if not split:
-            near &= equal.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        for j in others[near].tolist():
+        for j in others[_similar_to(sigs[i], sigs[others]) >= LEAST_ESTIMATE].tolist():
             yield j, i
 
 
@@ -164,15 +158,14 @@ def candidate_pairs(parts: DataFrame, across: bool) -> DataFrame:
     """(a, b) to verify. Rows of a bucket meet in order of (bucket, part); a task holds one block of one bucket at a time.
 
     The first pass links each block by a spanning forest, which needs fewer pairs than members. The second pass
-    (``across``) lists the pairs that are still in different components.
+    (``across``) lists the pairs that are still in different components, in every bucket that they share.
     """
 
     def pairs(block):
         sigs = np.frombuffer(b"".join(r[0] for r in block), np.uint32).reshape(-1, REGISTERS)
         if across:
-            names = {r[3]: i for i, r in enumerate(block)}
-            roots = np.array([names[r[3]] for r in block])
-            return _across(sigs, roots, block[0][1], block[0][2]) if len(names) > 1 else ()
+            names = {r[1]: i for i, r in enumerate(block)}
+            return _across(sigs, np.array([names[r[1]] for r in block])) if len(names) > 1 else ()
         return _tree(sigs)
 
     def run(batches):
@@ -182,12 +175,12 @@ def candidate_pairs(parts: DataFrame, across: bool) -> DataFrame:
         def close():
             if len(block) > 1:
                 for i, j in pairs(block):
-                    a, b = sorted((block[i][4], block[j][4]))
+                    a, b = sorted((block[i][2], block[j][2]))
                     out[0].append(a)
                     out[1].append(b)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "part", "sig", "band", "split", "root" if across else "node", "node")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "part", "sig", "root" if across else "node", "node")]
             for bucket, part, *row in zip(*columns, strict=True):
                 if (bucket, part) != key:
                     close()

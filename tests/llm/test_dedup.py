@@ -114,6 +114,21 @@ def test_near_duplicates(docs, rows, block, monkeypatch):
     assert near_dedup.near_duplicates(docs.where("false")).collect() == []
 
 
+def test_pairs_of_a_hot_band_are_listed_by_their_other_bands(spark, monkeypatch):
+    """Two texts share a hot band first, where their parts differ, and then bands that nobody else has."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(1, 2**32, (34, near_dedup.REGISTERS), dtype=np.uint32)
+    sigs[:, :near_dedup.ROWS] = sigs[0, :near_dedup.ROWS]
+    sigs[1] = sigs[0]
+    sigs[1, near_dedup.ROWS: 2 * near_dedup.ROWS] += 1  # the registers that divide the hot band
+    rows = [(bytes([i]), s.tobytes(), bytes([i])) for i, s in enumerate(sigs)]
+    nodes = spark.createDataFrame(rows, "node binary, sig binary, root binary")
+    buckets = near_dedup.shared_buckets(nodes.select("node", "sig"))
+    got = near_dedup.candidate_pairs(near_dedup.with_parts(buckets, nodes), across=True).collect()
+    assert [(bytes(r.a), bytes(r.b)) for r in got] == [(bytes([0]), bytes([1]))]
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = random.Random(4)
     base = words(rng, 400)

@@ -22,9 +22,10 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 # Pairs whose estimate is below this are not verified: 2.7 standard errors below the wanted similarity.
 LEAST_ESTIMATE = 0.7
-# Members of a bucket compared with each other at once. Larger buckets are divided by further registers.
+# Members of a bucket compared with each other at once. Larger buckets are divided: by further registers for the
+# spanning forest, which need not be whole, and into cells of two slots each for the pairs that it leaves.
 BLOCK = 1024
-# Of a full block, members that are also compared with the next one.
+# Of a full block, members that also take part in the next one's spanning forest.
 CARRIED = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -124,7 +125,7 @@ def with_parts(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     part = F.expr(f"xxhash64(substring(concat(sig, sig), (band + 1) * {4 * ROWS} + 1, 4 * further))")
     return buckets.join(nodes, "node").withColumn("further", further).select(
         "bucket", F.when(F.col("further") > 0, part).otherwise(F.lit(0)).cast("long").alias("part"),
-        "node", "sig", *[c for c in ("root",) if c in nodes.columns])
+        "node", "sig")
 
 
 def _similar_to(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -146,41 +147,30 @@ def _tree(sigs: np.ndarray):
         best, link = np.where(closer, new, best), np.where(closer, node, link)
 
 
-def _across(sigs: np.ndarray, roots: np.ndarray):
-    """Pairs of different components that reach the least estimate."""
-    for i in range(1, len(sigs)):
-        others = np.flatnonzero(roots[:i] != roots[i])
-        for j in others[_similar_to(sigs[i], sigs[others]) >= LEAST_ESTIMATE].tolist():
-            yield j, i
+def _pair_batch(out: list[list[bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
 
 
-def candidate_pairs(parts: DataFrame, across: bool) -> DataFrame:
-    """(a, b) to verify. Rows of a bucket meet in order of (bucket, part); a task holds one block of one bucket at a time.
+def forest_pairs(parts: DataFrame) -> DataFrame:
+    """(a, b) to verify first. Rows of a bucket meet in order of (bucket, part); a task holds one block of one bucket at a time.
 
-    The first pass links each block by a spanning forest, which needs fewer pairs than members. The second pass
-    (``across``) lists the pairs that are still in different components, in every bucket that they share.
+    Each block is linked by a spanning forest, which needs fewer pairs than members. What it misses is left to
+    ``open_pairs``.
     """
 
-    def pairs(block):
-        sigs = np.frombuffer(b"".join(r[0] for r in block), np.uint32).reshape(-1, REGISTERS)
-        if across:
-            names = {r[1]: i for i, r in enumerate(block)}
-            return _across(sigs, np.array([names[r[1]] for r in block])) if len(names) > 1 else ()
-        return _tree(sigs)
-
     def run(batches):
         key, block = None, []
         out: list[list[bytes]] = [[], []]
 
         def close():
             if len(block) > 1:
-                for i, j in pairs(block):
-                    a, b = sorted((block[i][2], block[j][2]))
+                for i, j in _tree(np.frombuffer(b"".join(r[0] for r in block), np.uint32).reshape(-1, REGISTERS)):
+                    a, b = sorted((block[i][1], block[j][1]))
                     out[0].append(a)
                     out[1].append(b)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "part", "sig", "root" if across else "node", "node")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "part", "sig", "node")]
             for bucket, part, *row in zip(*columns, strict=True):
                 if (bucket, part) != key:
                     close()
@@ -190,20 +180,79 @@ def candidate_pairs(parts: DataFrame, across: bool) -> DataFrame:
                     block = block[:: BLOCK // CARRIED]
                 block.append(row)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
+                yield _pair_batch(out)
                 out[0].clear()
                 out[1].clear()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
+        yield _pair_batch(out)
 
     dealt = parts.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(node, set) of the texts that occur in ``pairs``: sorted distinct shingle hashes. One text per node moves."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.join(wanted, "node", "left_semi").select("rep", F.col("node").alias("wanted"))
+def _across(sigs: np.ndarray, roots: np.ndarray, slots: np.ndarray | None):
+    """Pairs of different components, and of different slots if given, that reach the least estimate."""
+    for i in range(1, len(sigs)):
+        apart = roots[:i] != roots[i]
+        if slots is not None:
+            apart &= slots[:i] != slots[i]
+        others = np.flatnonzero(apart)
+        for j in others[_similar_to(sigs[i], sigs[others]) >= LEAST_ESTIMATE].tolist():
+            yield j, i
+
+
+def open_pairs(buckets: DataFrame, marked: DataFrame) -> DataFrame:
+    """(a, b) to verify: all pairs of all buckets that are still in different components (``root`` of ``marked``).
+
+    Buckets of one component are left out. The members of a bucket are dealt over as many slots as it has blocks, and
+    each two slots meet in a cell of their own, so every pair of a bucket meets once, whatever the size of the bucket.
+    """
+    roots = buckets.join(marked.select("node", "root"), "node").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    mixed = stage(roots.where("x <> y").select("bucket"), "open-buckets")
+    rows = buckets.join(mixed, "bucket").join(marked.select("node", "root", "sig"), "node")
+    rows = rows.withColumn("slots", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("slot", F.expr("cast(pmod(xxhash64(node, bucket), slots) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    cells = rows.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "root", "sig")
+
+    def run(batches):
+        key, cell = None, []
+        out: list[list[bytes]] = [[], []]
+
+        def close():
+            names = {r[1]: k for k, r in enumerate(cell)}
+            if len(names) > 1:
+                sigs = np.frombuffer(b"".join(r[3] for r in cell), np.uint32).reshape(-1, REGISTERS)
+                slots = np.array([r[0] for r in cell]) if key[1] < key[2] else None
+                for k, m in _across(sigs, np.array([names[r[1]] for r in cell]), slots):
+                    a, b = sorted((cell[k][2], cell[m][2]))
+                    out[0].append(a)
+                    out[1].append(b)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "slot", "root", "node", "sig")]
+            for bucket, i, j, *row in zip(*columns, strict=True):
+                if (bucket, i, j) != key:
+                    close()
+                    key, cell = (bucket, i, j), []
+                cell.append(row)
+            if out[0]:
+                yield _pair_batch(out)
+                out[0].clear()
+                out[1].clear()
+        close()
+        yield _pair_batch(out)
+
+    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(node): the texts that occur in ``pairs``."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(node, set) of the texts of ``chosen`` (rep, wanted): sorted distinct shingle hashes. One text per node moves."""
 
     def run(batches):
         for batch in small_batches(batches):
@@ -214,7 +263,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_column:
                 ["node", "set"])
 
     named = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    found = named.join(chosen.hint("shuffle_hash"), named.id.eqNullSafe(chosen.rep)).select("wanted", "text")
+    found = named.join(chosen, named.id.eqNullSafe(chosen.rep)).select("wanted", "text")
     return found.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"])
 
 
@@ -246,18 +295,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     empty result.
 
     Copies are merged before anything is compared. Within a bucket the first pass verifies a spanning forest, the
-    second only pairs that the first left in different components, so a bucket of near copies never lists all pairs.
+    second all pairs that the first left in different components, so a bucket of near copies never lists all pairs.
     """
     table = stage(signature_table(docs, id_column, text_column), "signatures")
     nodes = stage(table.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
     buckets = stage(shared_buckets(nodes), "buckets")
-    tree = stage(candidate_pairs(with_parts(buckets, nodes), across=False), "pairs")
-    sets = stage(shingle_sets(docs, nodes, tree, id_column, text_column), "shingle-sets")
+    tree = stage(forest_pairs(with_parts(buckets, nodes)), "pairs")
+    named = nodes.select("node", "rep", F.col("node").alias("wanted"))
+    chosen = named.join(ends(tree), "node", "left_semi").select("rep", "wanted")
+    sets = stage(shingle_sets(docs, chosen.hint("shuffle_hash"), id_column, text_column), "shingle-sets")
     links = stage(verified(tree, sets, similarity), "near-links")
     roots = stage(components(links), "roots")
     marked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stage(candidate_pairs(with_parts(buckets, marked), across=True), "pairs")
+    more = stage(open_pairs(buckets, marked), "pairs")
     if not more.isEmpty():
+        lacking = ends(more).join(sets.select("node"), "node", "left_anti")
+        chosen = stage(named.join(lacking, "node", "left_semi").select("rep", "wanted"), "lacking-sets")
+        if not chosen.isEmpty():  # texts that no forest pair has
+            sets = sets.union(stage(shingle_sets(docs, chosen, id_column, text_column), "shingle-sets"))
         new = stage(verified(more, sets, similarity), "near-links")
         if not new.isEmpty():
             roots = stage(components(links.union(new)), "roots")

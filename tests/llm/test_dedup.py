@@ -125,10 +125,24 @@ def test_pairs_of_a_hot_band_are_listed_by_their_other_bands(spark, monkeypatch)
     rows = [(bytes([i]), s.tobytes(), bytes([i])) for i, s in enumerate(sigs)]
     nodes = spark.createDataFrame(rows, "node binary, sig binary, root binary")
     buckets = near_dedup.shared_buckets(nodes.select("node", "sig"))
-    got = near_dedup.candidate_pairs(near_dedup.with_parts(buckets, nodes), across=True).collect()
+    got = near_dedup.open_pairs(buckets, nodes).collect()
     assert [(bytes(r.a), bytes(r.b)) for r in got] == [(bytes([0]), bytes([1]))]
 
 
+def test_all_pairs_of_a_hot_bucket_meet(spark, monkeypatch):
+    """Similar texts of one bucket alone, whose further registers differ and which lie many blocks apart."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    rng = np.random.default_rng(5)
+    sigs = np.tile(rng.integers(1, 2**32, near_dedup.REGISTERS, dtype=np.uint32), (20, 1))
+    sigs[:, near_dedup.ROWS + 1:: near_dedup.ROWS] = rng.integers(1, 2**32, (20, near_dedup.BANDS - 1))  # one register of each other band
+    sigs[:, near_dedup.ROWS] = rng.integers(1, 2**32, 20)
+    rows = [(bytes([i]), s.tobytes(), bytes([i % 19])) for i, s in enumerate(sigs)]
+    nodes = spark.createDataFrame(rows, "node binary, sig binary, root binary")
+    buckets = near_dedup.shared_buckets(nodes.select("node", "sig"))
+    got = sorted((bytes(r.a)[0], bytes(r.b)[0]) for r in near_dedup.open_pairs(buckets, nodes).collect())
+    assert got == [(i, j) for i in range(20) for j in range(i + 1, 20) if (i, j) != (0, 19)]
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = random.Random(4)
     base = words(rng, 400)

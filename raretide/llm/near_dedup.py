@@ -4,6 +4,10 @@ Every five-word shingle of a text is an element with a weight that grows with it
 out arrivals of a Poisson process whose rate is the weight; each arrival goes to a random register, and a register
 keeps the element of its first arrival. Elements stop once their next arrival is later than everything that the
 registers hold. The share of equal registers of two texts estimates their probability Jaccard similarity.
+
+Links are by the Jaccard similarity of the shingle sets. As repeats lower the other similarity, a text with repeated
+shingles has the bands of a second signature too, with weight 1 for all. Estimates only choose the pairs that are
+verified first; what rules out others is a bound on the sets.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ from raretide.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-# Pairs whose estimate is below this are not verified: 2.7 standard errors below the wanted similarity.
+# Pairs whose estimate is below this are no links of the spanning forest; they are left to the second pass.
 LEAST_ESTIMATE = 0.7
 # Members of a bucket compared with each other at once. Larger buckets are divided: by further registers for the
 # spanning forest, which need not be whole, and into cells of two slots each for the pairs that it leaves.
 BLOCK = 1024
 # Of a full block, members that also take part in the next one's spanning forest.
 CARRIED = 64
+# Bits of a text's parity sketch: each distinct shingle turns one of them over.
+BITS = 2048
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -92,26 +98,47 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return holder.reshape(len(sets), REGISTERS)
 
 
+def sketch(distinct: np.ndarray) -> bytes:
+    """Parities of the distinct shingles by the low bits of their hashes. Two sketches differ in at most as many bits
+    as there are shingles that only one of the texts has."""
+    return np.packbits(np.bincount((distinct % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def signature_table(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, node, sig): ``node`` is a 128-bit digest of the words, equal for texts with the same words."""
+    """(id, node, sig, plain, size, bits): ``node`` is a 128-bit digest of the words, equal for texts with the same words.
+
+    ``plain`` is the signature without weights, null where no shingle is repeated; ``size`` and ``bits`` are the number
+    and the sketch of the distinct shingles.
+    """
 
     def run(batches):
         for batch in small_batches(batches):
             words = [normalised(t) for t in texts(batch, "text")]
-            sigs = signatures([shingles(w) for w in words])
+            lists = [shingles(w) for w in words]
+            sets = [np.unique(x) for x in lists]
+            repeats = [k for k, (x, y) in enumerate(zip(lists, sets, strict=True)) if len(y) < len(x)]
+            plain: list[bytes | None] = [None] * len(sets)
+            for k, sig in zip(repeats, signatures([sets[k] for k in repeats]), strict=True):
+                plain[k] = sig.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([hashlib.sha256(w).digest()[:16] for w in words], pa.binary()),
-                 pa.array([s.tobytes() for s in sigs], pa.binary())], ["id", "node", "sig"])
+                 pa.array([s.tobytes() for s in signatures(lists)], pa.binary()), pa.array(plain, pa.binary()),
+                 pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())],
+                ["id", "node", "sig", "plain", "size", "bits"])
 
     named = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return named.mapInArrow(run, "id bigint, node binary, sig binary")
+    return named.mapInArrow(run, "id bigint, node binary, sig binary, plain binary, size int, bits binary")
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, band, node, n): one row per text and band whose bucket holds other texts too, ``n`` in all."""
+    """(bucket, band, node, n): one row per text and bucket that holds other texts too, ``n`` in all.
+
+    A text is in the buckets of the bands of both its signatures.
+    """
     width = 4 * ROWS
-    rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    rows = rows.select("node", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"))
+    rows = nodes.select("node", "sig", "plain", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    own, other = [F.xxhash64("band", F.expr(f"substring({c}, band * {width} + 1, {width})")) for c in ("sig", "coalesce(plain, sig)")]
+    rows = rows.select("node", "band", F.explode(F.array_distinct(F.array(own, other))).alias("bucket"))
     sizes = stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
     return rows.join(sizes, "bucket").select("bucket", "band", "node", "n")
 
@@ -190,29 +217,36 @@ def forest_pairs(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _across(sigs: np.ndarray, roots: np.ndarray, slots: np.ndarray | None):
-    """Pairs of different components, and of different slots if given, that reach the least estimate."""
-    for i in range(1, len(sigs)):
+def _across(bits: np.ndarray, sizes: np.ndarray, roots: np.ndarray, slots: np.ndarray | None, similarity: float):
+    """Pairs of different components, and of different slots if given, that may reach the similarity.
+
+    Sets of x and y shingles with a Jaccard similarity of at least t have at most (x + y) (1 - t) / (1 + t) shingles
+    that are not in both, and at least as many as their sketches differ in bits or they differ in size.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    for i in range(1, len(roots)):
         apart = roots[:i] != roots[i]
         if slots is not None:
             apart &= slots[:i] != slots[i]
-        others = np.flatnonzero(apart)
-        for j in others[_similar_to(sigs[i], sigs[others]) >= LEAST_ESTIMATE].tolist():
+        most = share * (sizes[:i] + sizes[i]) + 1e-6
+        others = np.flatnonzero(apart & (np.abs(sizes[:i] - sizes[i]) <= most))
+        for j in others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= most[others]].tolist():
             yield j, i
 
 
-def open_pairs(buckets: DataFrame, marked: DataFrame) -> DataFrame:
-    """(a, b) to verify: all pairs of all buckets that are still in different components (``root`` of ``marked``).
+def open_pairs(buckets: DataFrame, marked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) to verify: all pairs of all buckets that are still in different components (``root`` of ``marked``) and
+    that their sizes and sketches do not rule out.
 
     Buckets of one component are left out. The members of a bucket are dealt over as many slots as it has blocks, and
     each two slots meet in a cell of their own, so every pair of a bucket meets once, whatever the size of the bucket.
     """
     roots = buckets.join(marked.select("node", "root"), "node").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"))
     mixed = stage(roots.where("x <> y").select("bucket"), "open-buckets")
-    rows = buckets.join(mixed, "bucket").join(marked.select("node", "root", "sig"), "node")
+    rows = buckets.join(mixed, "bucket").join(marked.select("node", "root", "size", "bits"), "node")
     rows = rows.withColumn("slots", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("slot", F.expr("cast(pmod(xxhash64(node, bucket), slots) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    cells = rows.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "root", "sig")
+    cells = rows.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "root", "size", "bits")
 
     def run(batches):
         key, cell = None, []
@@ -221,15 +255,16 @@ def open_pairs(buckets: DataFrame, marked: DataFrame) -> DataFrame:
         def close():
             names = {r[1]: k for k, r in enumerate(cell)}
             if len(names) > 1:
-                sigs = np.frombuffer(b"".join(r[3] for r in cell), np.uint32).reshape(-1, REGISTERS)
+                bits = np.frombuffer(b"".join(r[4] for r in cell), np.uint64).reshape(-1, BITS // 64)
+                sizes = np.array([r[3] for r in cell], np.int64)
                 slots = np.array([r[0] for r in cell]) if key[1] < key[2] else None
-                for k, m in _across(sigs, np.array([names[r[1]] for r in cell]), slots):
+                for k, m in _across(bits, sizes, np.array([names[r[1]] for r in cell]), slots, similarity):
                     a, b = sorted((cell[k][2], cell[m][2]))
                     out[0].append(a)
                     out[1].append(b)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "slot", "root", "node", "sig")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "slot", "root", "node", "size", "bits")]
             for bucket, i, j, *row in zip(*columns, strict=True):
                 if (bucket, i, j) != key:
                     close()
@@ -298,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     second all pairs that the first left in different components, so a bucket of near copies never lists all pairs.
     """
     table = stage(signature_table(docs, id_column, text_column), "signatures")
-    nodes = stage(table.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
+    nodes = stage(table.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("sig", "plain", "size", "bits")).alias("one")).select(
+        "node", "rep", "copies", "one.*"), "nodes")
     buckets = stage(shared_buckets(nodes), "buckets")
     tree = stage(forest_pairs(with_parts(buckets, nodes)), "pairs")
     named = nodes.select("node", "rep", F.col("node").alias("wanted"))
@@ -307,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = stage(verified(tree, sets, similarity), "near-links")
     roots = stage(components(links), "roots")
     marked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stage(open_pairs(buckets, marked), "pairs")
+    more = stage(open_pairs(buckets, marked, similarity), "pairs")
     if not more.isEmpty():
         lacking = ends(more).join(sets.select("node"), "node", "left_anti")
         chosen = stage(named.join(lacking, "node", "left_semi").select("rep", "wanted"), "lacking-sets")

@@ -122,9 +122,11 @@ def test_pairs_of_a_hot_band_are_listed_by_their_other_bands(spark, monkeypatch)
     sigs[:, :near_dedup.ROWS] = sigs[0, :near_dedup.ROWS]
     sigs[1] = sigs[0]
     sigs[1, near_dedup.ROWS: 2 * near_dedup.ROWS] += 1  # the registers that divide the hot band
-    rows = [(bytes([i]), s.tobytes(), bytes([i])) for i, s in enumerate(sigs)]
-    nodes = spark.createDataFrame(rows, "node binary, sig binary, root binary")
-    buckets = near_dedup.shared_buckets(nodes.select("node", "sig"))
+    sets = rng.integers(0, 2**64, (34, 300), dtype=np.uint64)
+    sets[1] = sets[0]
+    rows = [(bytes([i]), s.tobytes(), None, bytes([i]), 300, near_dedup.sketch(sets[i])) for i, s in enumerate(sigs)]
+    nodes = spark.createDataFrame(rows, "node binary, sig binary, plain binary, root binary, size int, bits binary")
+    buckets = near_dedup.shared_buckets(nodes.select("node", "sig", "plain"))
     got = near_dedup.open_pairs(buckets, nodes).collect()
     assert [(bytes(r.a), bytes(r.b)) for r in got] == [(bytes([0]), bytes([1]))]
 
@@ -136,13 +138,43 @@ def test_all_pairs_of_a_hot_bucket_meet(spark, monkeypatch):
     sigs = np.tile(rng.integers(1, 2**32, near_dedup.REGISTERS, dtype=np.uint32), (20, 1))
     sigs[:, near_dedup.ROWS + 1:: near_dedup.ROWS] = rng.integers(1, 2**32, (20, near_dedup.BANDS - 1))  # one register of each other band
     sigs[:, near_dedup.ROWS] = rng.integers(1, 2**32, 20)
-    rows = [(bytes([i]), s.tobytes(), bytes([i % 19])) for i, s in enumerate(sigs)]
-    nodes = spark.createDataFrame(rows, "node binary, sig binary, root binary")
-    buckets = near_dedup.shared_buckets(nodes.select("node", "sig"))
+    sets = np.tile(rng.integers(0, 2**64, 300, dtype=np.uint64), (20, 1))
+    rows = [(bytes([i]), s.tobytes(), None, bytes([i % 19]), 300, near_dedup.sketch(sets[i])) for i, s in enumerate(sigs)]
+    nodes = spark.createDataFrame(rows, "node binary, sig binary, plain binary, root binary, size int, bits binary")
+    buckets = near_dedup.shared_buckets(nodes.select("node", "sig", "plain"))
     got = sorted((bytes(r.a)[0], bytes(r.b)[0]) for r in near_dedup.open_pairs(buckets, nodes).collect())
     assert got == [(i, j) for i in range(20) for j in range(i + 1, 20) if (i, j) != (0, 19)]
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    """The same shingles but for the seams; repeats take the probability Jaccard similarity below 0.6."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(0, 60, 2):
+        text = words(rng, 200)
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text + text[:80] * 99))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
+def test_sketches_and_sizes_rule_out_no_similar_pair():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9, 200, 5000):
+        for share in (0.75, 0.8, 0.85, 0.95, 1.0):
+            x = rng.integers(0, 2**64, n, dtype=np.uint64)
+            y = np.concatenate([x[: round(n * share)], rng.integers(0, 2**64, rng.integers(0, n // 9 + 1), dtype=np.uint64)])
+            if not len(y):
+                continue
+            both = len(np.intersect1d(x, y))
+            bits = np.frombuffer(near_dedup.sketch(x) + near_dedup.sketch(y), np.uint64).reshape(2, -1)
+            listed = list(near_dedup._across(bits, np.array([len(x), len(y)]), np.arange(2), None, 0.8))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert listed == [(0, 1)]
+            elif n == 200 and both < 0.75 * (len(x) + len(y) - both):
+                assert not listed
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = random.Random(4)
     base = words(rng, 400)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raretide.llm import bpe, divergence, exact_dedup, language, lengths, licenses, mixing, near_dedup, quality, spelling, templates, toxicity
+from raretide.llm import bpe, divergence, exact_dedup, language, lengths, licenses, mixing, near_dedup, quality, set_join, spelling, templates, toxicity
 from raretide.llm.common import fold, table
-from raretide.llm.sql import DIVERGENCE_SQL, EXACT_DEDUP_SQL, LICENSE_SQL, QUALITY_SQL
+from raretide.llm.sql import DIVERGENCE_SQL, EXACT_DEDUP_SQL, JACCARD_SQL, LICENSE_SQL, QUALITY_SQL
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -72,6 +72,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,6 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_divergence, op2_soft_mixing, op3_chunk_recipes, op4_license_scan, op5_language_mixture, op6_toxicity_ratio,
     op7_length_histogram, op8_probminhash, op9_page_templates, op10_byte_bpe,
-    op11_source_divergence, op13_spelling_variants)}
+    op11_source_divergence, op12_jaccard_components, op13_spelling_variants)}
 ORACLES = {"op1_quality_divergence": QUALITY_SQL, "op3_chunk_recipes": EXACT_DEDUP_SQL, "op4_license_scan": LICENSE_SQL,
-           "op11_source_divergence": DIVERGENCE_SQL}
+           "op11_source_divergence": DIVERGENCE_SQL, "op12_jaccard_components": JACCARD_SQL}

@@ -33,6 +33,21 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN list_transform(range(least(len(w), 1)), lambda i: array_to_string(w, ' '))
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM d),
+named AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN sha256(array_to_string(g, chr(10))) END AS k, g FROM s),
+sets AS (SELECT k, min(doc_id) AS least, any_value(n) AS n, any_value(g) AS g FROM named WHERE k IS NOT NULL GROUP BY k),
+rows AS (SELECT k, n, unnest(g) AS x FROM sets),
+links AS (SELECT a.k AS a, b.k AS b FROM rows a JOIN rows b ON a.x = b.x AND a.k <> b.k GROUP BY a.k, b.k
+  HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT k AS a, k AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+ends AS (SELECT reach.a AS k, min(least) AS component_id FROM reach JOIN sets ON sets.k = reach.b GROUP BY reach.a)
+SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM named LEFT JOIN ends USING (k)
+"""
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -24,7 +24,7 @@ BOUNDARY = 15.0
 _WITHOUT_DISPERSION = {"zinb": "zip", "negbin": "poisson"}
 # A parameter beyond this, or this many rounds without a gain, means that the maximum is at infinity.
 DIVERGED, STALLED = 200.0, 5
-DECREMENT = 1e-12
+DECREMENT = 1e-16
 MAX_ROUNDS = 200
 
 
@@ -210,6 +210,8 @@ class _State:
         at_edge = self._at_boundary()
         if at_edge or decrement < DECREMENT:
             self.done, self.ok = True, not at_edge and self._definite()
+            if self.ok:  # the last step is below the precision of the likelihood, but not below that of the parameters
+                self.point = self.point + self.step
             return
         if self.stalled >= STALLED or np.max(np.abs(self.point)) > DIVERGED:
             self.done = True

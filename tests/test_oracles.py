@@ -27,8 +27,12 @@ def test_matches_sql(spark, small, name):
     assert compare(QUERIES[name].plan(spark, SMALL), small, QUERIES[name].sql) == ""
 
 
-def test_builder_matches_sql(spark):
-    name = "fe17_builder_numeric_part"  # user columns have enough values for bins from sf0.01 on
+@pytest.mark.parametrize("name", [
+    "fe17_builder_numeric_part",  # user columns have enough values for bins from sf0.01 on
+    "mdl6_saturated_poisson", "mdl7_saturated_negative_binomial", "mdl8_saturated_zip", "mdl14_backward_shifts_poisson",
+    "stp4_significance_gate", "stp8_shifts_history_aic",
+])
+def test_larger_tables_match_sql(spark, name):
     assert compare(QUERIES[name].plan(spark, MEDIUM), connect(MEDIUM), QUERIES[name].sql) == ""
 
 

@@ -107,14 +107,28 @@ def given_clusters(risk):
     return scaled.select("category", "value", C.nearest_centre(F.col("scaled"), _CENTRES).alias("cluster"))
 
 
-def _mix_sql():
+# The best of all pairs of cuts, by prefix sums; with fewer than three values each is a cluster.
+_BEST = _GIVEN[: _GIVEN.rindex("clusters AS")].replace("(ab - min(ab) OVER w) / (max(ab) OVER w - min(ab) OVER w)",
+                                                       "coalesce((ab - min(ab) OVER w) / nullif(max(ab) OVER w - min(ab) OVER w, 0), 0)") + """
+  pts AS (SELECT category, scaled AS v, count(*)::DOUBLE AS w FROM scaled GROUP BY 1, 2),
+  pre AS (SELECT category, v, row_number() OVER o AS i, count(*) OVER (PARTITION BY category) AS m, sum(w) OVER o AS cw, sum(w * v) OVER o AS cx,
+    sum(w * v * v) OVER o AS cxx FROM pts WINDOW o AS (PARTITION BY category ORDER BY v)),
+  cuts AS (SELECT category, a.v AS first, b.v AS second, a.cxx - a.cx ** 2 / a.cw + b.cxx - a.cxx - (b.cx - a.cx) ** 2 / (b.cw - a.cw)
+      + c.cxx - b.cxx - (c.cx - b.cx) ** 2 / (c.cw - b.cw) AS cost
+    FROM pre a JOIN pre b USING (category) JOIN pre c USING (category) WHERE c.i = c.m AND a.i < b.i AND b.i < c.m),
+  best AS (SELECT category, arg_min(first, cost) AS first, arg_min(second, cost) AS second FROM cuts GROUP BY category),
+  clusters AS (SELECT category, value, scaled, CASE WHEN second IS NULL THEN i - 1 ELSE (scaled > first)::INT + (scaled > second)::INT END AS cluster
+    FROM scaled JOIN pre USING (category) LEFT JOIN best USING (category) WHERE pre.v = scaled.scaled)"""
+
+
+def _mix_sql(given: str = _GIVEN):
     parts, froms = [], []
     for c in C.CATEGORIES:
         a = f"t_{c}"
         for k in range(3):
             parts.append(r(f"sum(CASE WHEN {a}.cluster = {k} THEN 1 ELSE 0 END) / nullif(count({a}.cluster), 0)", f"target_{c}_{k}"))
         froms.append(f"LEFT JOIN clusters {a} ON {a}.category = '{c}' AND {a}.value = w.{c}")
-    return f"{_GIVEN} SELECT w.date_window, {', '.join(parts)} FROM w360 w {' '.join(froms)} GROUP BY w.date_window"
+    return f"{given} SELECT w.date_window, {', '.join(parts)} FROM w360 w {' '.join(froms)} GROUP BY w.date_window"
 
 
 @query("agg8_cluster_mix", "AGG8", "JN5", "FE4", sql=_mix_sql())
@@ -372,7 +386,7 @@ def _(spark, d):
     return C.min_max_scaled(sums, "s", "scaled").drop("s")
 
 
-@query("fe5_kmeans_centres", "FE5")
+@query("fe5_kmeans_centres", "FE5", sql=f"{_BEST} SELECT category, cluster::INT AS cluster, {r('avg(scaled)', 'centre')} FROM clusters GROUP BY category, cluster")
 def _(spark, d):
     cells = stage(C.category_cells(windowed(spark, d), C.CATEGORIES), "cells")
     scaled = C.min_max_scaled(C.risk_of_cells(cells), "ab", "scaled", by=("category",))
@@ -390,7 +404,8 @@ def _(spark, d):
     return C.one_hot(rows, "weekday", 3, drop_first=True)
 
 
-@query("fe7_cluster_target_fields", "FE7")
+@query("fe7_cluster_target_fields", "FE7", sql=f"""{_BEST} SELECT value AS city, {", ".join(f"(cluster = {k})::INT AS target_city_{k}" for k in range(3))}
+  FROM clusters WHERE category = 'city'""")
 def _(spark, d):
     return C.cluster_target_fields(staged_rows(spark, d, "city", "target"), "city")
 
@@ -456,7 +471,7 @@ def _(spark, d):
 
 # -- whole feature tables ----------------------------------------------------------------------------------
 
-@query("fe13_category_features", "FE13", "FE5", "AGG8")
+@query("fe13_category_features", "FE13", "FE5", "AGG8", sql=_mix_sql(_BEST))
 def _(spark, d):
     rows = W.add_window(staged_rows(spark, d, "date", "target", *C.CATEGORIES), "360m")
     cells = stage(C.category_cells(rows, C.CATEGORIES), "cells")

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raretide.functions.scalars import capped_ratio
-from raretide.operators.moments import sum_cells
+from raretide.operators.partition import optimal_centres
 from raretide.operators.windows import WINDOW
 
 CATEGORIES = ("city", "country", "description")
 N_CLUSTERS = 3
-SEED, STARTS = 42, 10
-SKETCH_POINTS, MAX_PASSES = 100, 300
 
 
 def risk_ratio(positives: Column, rows: Column) -> Column:
@@ -47,64 +43,9 @@ def one_hot(df: DataFrame, column: str, levels: int, drop_first: bool = False) -
     return df.withColumns(flags).drop(column)
 
 
-def _lloyd_sums(centres: dict[tuple[int, int], np.ndarray]):
-    """Per block of (group, value, weight): weight, sum and sum of squares per (group, start, cluster)."""
-
-    def of_block(rows: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for (group, _), c in sorted(centres.items()):
-            here = rows[rows[:, 0] == group]
-            x, w = here[:, 1], here[:, 2]
-            at = np.searchsorted((c[1:] + c[:-1]) / 2, x, side="left")
-            out.append(np.concatenate([np.bincount(at, weights=v, minlength=c.size) for v in (w, w * x, w * x * x)]))
-        return out
-
-    return of_block
-
-
-def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS, max_passes: int = MAX_PASSES) -> list[list[float]]:
-    """Ascending k-means centres per group of ``points`` (group, value, weight).
-
-    ``STARTS`` seeded starts per group, the one of least cost wins. All groups and starts share each pass
-    over the points: a Lloyd step sums weights and values per cluster on the executors, and only those sums
-    come back. Starting centres are drawn from a quantile sketch, far ones with higher probability.
-    """
-    shares = [i / SKETCH_POINTS for i in range(SKETCH_POINTS + 1)]
-    sketch = points.groupBy("group").agg(F.percentile_approx("value", shares, 20 * SKETCH_POINTS).alias("q"))
-    drawn = {int(r["group"]): np.unique(r["q"]) for r in sketch.collect()}
-    centres: dict[tuple[int, int], np.ndarray] = {}
-    for group, values in drawn.items():
-        for start in range(STARTS):
-            rng = np.random.default_rng(SEED + start)
-            chosen = [rng.choice(values)]
-            while len(chosen) < min(k, values.size):
-                gap = np.min(np.abs(values[:, None] - np.array(chosen)[None, :]), axis=1) ** 2
-                chosen.append(rng.choice(values, p=gap / gap.sum()))
-            centres[group, start] = np.sort(chosen)
-
-    active, cost = dict(centres), {}
-    partitions = points.rdd.getNumPartitions()
-    for _ in range(max_passes):
-        sums = sum_cells(points, _lloyd_sums(active), partitions)
-        moved = {}
-        for i, key in enumerate(sorted(active)):
-            w, wx, wxx = sums[i].reshape(3, -1)
-            c = active[key]
-            new = np.sort(np.where(w > 0, wx / np.where(w > 0, w, 1.0), c))
-            cost[key] = float(np.sum(wxx - 2 * c * wx + c * c * w))
-            centres[key] = new
-            if np.max(np.abs(new - c)) > 1e-12:
-                moved[key] = new
-        active = moved
-        if not active:
-            break
-    if active:
-        warnings.warn(f"{len(active)} k-means starts still moved after {max_passes} passes", stacklevel=2)
-    best = []
-    for group in range(groups):
-        starts = [(cost[group, s], tuple(centres[group, s])) for s in range(STARTS) if (group, s) in cost]
-        best.append([float(v) for v in min(starts)[1]] if starts else [])
-    return best
+def cluster_centres(points: DataFrame, groups: int, k: int = N_CLUSTERS) -> list[list[float]]:
+    """Ascending k-means centres per group of ``points`` (group, value, weight): the optimum, so no starts are drawn."""
+    return optimal_centres(points, groups, k)
 
 
 def nearest_centre(value: Column, centres: Sequence[float]) -> Column:
@@ -139,11 +80,7 @@ def assign_clusters(risk: DataFrame, categories: Sequence[str], k: int = N_CLUST
     scaled = min_max_scaled(risk, "ab", "scaled", by=("category",))
     group = F.array_position(F.array(*map(F.lit, categories)), F.col("category")) - 1
     points = scaled.groupBy(group.alias("group"), F.col("scaled").alias("value")).agg(F.count(F.lit(1)).alias("weight"))
-    points = points.persist()
-    try:
-        centres = cluster_centres(points, len(categories), k)
-    finally:
-        points.unpersist()
+    centres = cluster_centres(points, len(categories), k)
     cluster = None
     for c, found in zip(categories, centres):
         at = nearest_centre(F.col("scaled"), found)
@@ -159,8 +96,7 @@ def cluster_target_fields(
     points = scaled.groupBy(F.lit(0).alias("group"), F.col("scaled").alias("value")).agg(
         F.count(F.lit(1)).alias("weight")
     )
-    centres = cluster_centres(points.persist(), 1, n_clusters)[0]
-    points.unpersist()
+    centres = cluster_centres(points, 1, n_clusters)[0]
     name = f"{target}_{category}"
     labelled = scaled.select(category, nearest_centre(F.col("scaled"), centres).alias(name))
     return one_hot(labelled, name, n_clusters, drop_first)

@@ -298,7 +298,7 @@ def _(spark, d):
 def _(spark, d):
     search = S.StepwiseZeroInflated(selection_criterion="LLF", cov_type="HC1")
     runs = S.RandomFeatureSelector(
-        search, n_estimators=3, max_features=0.75, random_state=42, scoring_fn=lambda m: m.final_model_.llf
+        search, max_features=0.75, random_state=42, scoring_fn=lambda m: m.final_model_.llf
     ).fit(staged_model_rows(spark, d), Y)
     rows = [(i, subset, m.columns_exog_, m.columns_inf_, float(score))
             for i, (subset, m, score) in enumerate(zip(runs.feature_subsets_, runs.models, runs.scores_))]
@@ -408,14 +408,25 @@ def _(spark, d):
 
 @query("plan6_model_tournament", "PIPE6", "SRT2", "FLT6", "MDL15")
 def _(spark, d):
+    """All twelve models; whether one converged is a column."""
     rows = staged_model_rows(spark, d)
-    config = T.TournamentConfig(n_estimators=2)
-    return T.metrics(rows, Y, T.run(rows, Y, MODEL_FEATURES, config)).where("Converged")
+    return T.metrics(rows, Y, T.run(rows, Y, MODEL_FEATURES))
+
+
+@query("plan6_winner_diagnostics", "PIPE6", "DIA3", "DIA8", "DIA9", "DIA10", "DIA11")
+def _(spark, d):
+    """Tests of the residuals of the converged model of greatest log-likelihood."""
+    rows = staged_model_rows(spark, d)
+    fits = {title: f for title, f in T.run(rows, Y, MODEL_FEATURES).items() if f.converged}
+    title = max(fits, key=lambda t: fits[t].llf)
+    found, out = T.diagnose(rows, Y, fits[title]), []
+    for test in ("shapiro", "dagostino", "breusch_pagan", "overdispersion"):
+        out += [(title, test, k, float(v)) for k, v in found[test].items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    out.append((title, "durbin_watson", "statistic", float(found["durbin_watson"])))
+    return spark.createDataFrame(out, "model_name string, test string, measure string, value double")
 
 
 @query("agg21_best_models", "AGG21", "FLT6")
 def _(spark, d):
     rows = staged_model_rows(spark, d)
-    names = {f"{n} Completo": G.Spec(f, MODEL_FEATURES, alpha=a) for n, (f, a) in T.FAMILIES.items() if f in ("poisson", "negbin")}
-    fits = G.fit_with_null(rows, Y, list(names.values()))
-    return T.best_models(counts.model_metrics(rows, Y, dict(zip(names, fits))))
+    return T.best_models(T.metrics(rows, Y, T.run(rows, Y, MODEL_FEATURES)))

@@ -187,8 +187,11 @@ _PAIRS = f"""{_CELLS},
     FROM em JOIN cell USING (c) WHERE k = 600 GROUP BY e, i) q)"""
 
 
-def _search(criterion: str) -> str:
-    """The forward and backward steps for every state (parts and excluded features), then the walk from nothing."""
+def _search(criterion: str, starts: str = "(0, 0)") -> str:
+    """The forward and backward steps for every state (parts and excluded features), then the walk from nothing.
+
+    ``starts``: number and excluded features of each run.
+    """
     return f"""{_PAIRS},
   state AS (SELECT e, i, m AS x, {criterion} AS best FROM fits CROSS JOIN subset),
   cand AS (SELECT state.*, f FROM state CROSS JOIN (VALUES (1), (2), (4)) v(f) WHERE (e & f) = 0 AND (i & f) = 0 AND (x & f) = 0),
@@ -200,8 +203,8 @@ def _search(criterion: str) -> str:
   less AS (SELECT a.e, a.i, min(b.{criterion}) AS v, arg_min(b.e, b.{criterion}) AS ne, arg_min(b.i, b.{criterion}) AS ni
     FROM fits a CROSS JOIN (VALUES (1), (2), (4)) v(f) JOIN fits b ON b.e = a.e & ~f AND b.i = a.i & ~f
     WHERE (a.e | a.i) & f > 0 AND bit_count(a.e::INT) + bit_count(a.i::INT) > 1 GROUP BY a.e, a.i),
-  walk AS (SELECT 0 AS t, 0::BIGINT AS e, 0::BIGINT AS i, 0::BIGINT AS x, NULL::DOUBLE AS before, (SELECT {criterion} FROM fits WHERE e = 0 AND i = 0) AS best, false AS done
-    UNION ALL SELECT t + 1, CASE WHEN f.v IS NULL THEN w.e WHEN l.v <= f.v + 1e-8 THEN l.ne ELSE f.ne END,
+  walk AS (SELECT run, 0 AS t, 0::BIGINT AS e, 0::BIGINT AS i, x::BIGINT AS x, NULL::DOUBLE AS before, (SELECT {criterion} FROM fits WHERE e = 0 AND i = 0) AS best, false AS done FROM (VALUES {starts}) v(run, x)
+    UNION ALL SELECT w.run, t + 1, CASE WHEN f.v IS NULL THEN w.e WHEN l.v <= f.v + 1e-8 THEN l.ne ELSE f.ne END,
       CASE WHEN f.v IS NULL THEN w.i WHEN l.v <= f.v + 1e-8 THEN l.ni ELSE f.ni END, f.x2, w.best,
       CASE WHEN f.v IS NULL THEN w.best WHEN l.v <= f.v + 1e-8 THEN l.v ELSE f.v END, f.v IS NULL
     FROM walk w JOIN forward f ON f.e = w.e AND f.i = w.i AND f.x = w.x LEFT JOIN less l ON l.e = f.ne AND l.i = f.ni WHERE NOT w.done)"""
@@ -243,3 +246,25 @@ def _(spark, d):
     model.fit_transform(shift_rows(spark, d), Y)
     row = (float(model.score()), ",".join(sorted(model.columns_exog_)), ",".join(sorted(model.columns_inf_)))
     return spark.createDataFrame([row], "score double, exog string, inf string")
+
+
+def _subsets() -> list[list[str]]:
+    return S.RandomFeatureSelector(S.StepwiseZeroInflated(), max_features=0.5, random_state=42).draw(SHIFTS).feature_subsets_
+
+
+def _excluded() -> str:
+    return ", ".join(f"({run}, {sum(1 << k for k, name in enumerate(SHIFTS) if name not in subset)})" for run, subset in enumerate(_subsets()))
+
+
+@query("rfs1_shift_subsets", "RFS1", "RFS2", "STP8", sql=f"""WITH {_search('aic', _excluded())}
+  SELECT run::INT AS run, {_features('walk.e')} AS exog, {_features('walk.i')} AS inf, {r('llf', 'score')}, llf = max(llf) OVER () AS best
+  FROM walk JOIN fits ON fits.e = walk.e AND fits.i = walk.i QUALIFY t = max(t) OVER (PARTITION BY run)""")
+def _(spark, d):
+    """Ten runs on two of the three features each, all in shared passes."""
+    estimator = S.StepwiseZeroInflated(alpha=1.0, convergence_strictness="low")
+    runs = S.RandomFeatureSelector(estimator, max_features=0.5, random_state=42, scoring_fn=lambda m: m.final_model_.llf)
+    runs.fit(shift_rows(spark, d), Y, SHIFTS)
+    top = runs.best_estimator_.final_model_.llf
+    rows = [(k, ",".join(sorted(m.columns_exog_)), ",".join(sorted(m.columns_inf_)), float(s), abs(s - top) < 1e-9)
+            for k, (m, s) in enumerate(zip(runs.models, runs.scores_))]
+    return spark.createDataFrame(rows, "run int, exog string, inf string, score double, best boolean")

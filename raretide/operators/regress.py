@@ -333,19 +333,22 @@ def fit_models(
     df: DataFrame,
     y: str,
     specs: Sequence[Spec],
-    cov_type: str = "nonrobust",
+    cov_type: str | Sequence[str] = "nonrobust",
     weight: str | None = None,
     starts: Sequence[np.ndarray | None] | None = None,
     llnull: dict[str, float] | None = None,
     max_rounds: int = MAX_ROUNDS,
 ) -> list[Fit | None]:
-    """Fit every spec to the same rows. ``None`` for a model whose sums are not finite at its start.
+    """Fit every spec to the same rows. ``None`` for a model whose sums are not finite at its start. ``cov_type`` holds
+    for all models, or is one for each.
 
     ``df`` is read once per round; stage or persist it first. Columns no open model needs are not read.
     """
-    if cov_type not in ("nonrobust", "HC0", "HC1", "robust"):
-        raise ValueError(f"cov_type must be nonrobust, robust, HC0 or HC1, not {cov_type!r}")
-    cov_type = "HC1" if cov_type == "robust" else cov_type
+    kinds = [cov_type] * len(specs) if isinstance(cov_type, str) else list(cov_type)
+    for kind in kinds:
+        if kind not in ("nonrobust", "HC0", "HC1", "robust"):
+            raise ValueError(f"cov_type must be nonrobust, robust, HC0 or HC1, not {kind!r}")
+    kinds = ["HC1" if kind == "robust" else kind for kind in kinds]
     w = F.col(weight) if weight else F.lit(1.0)
     value = F.col(y).cast("double")
     total, first, second, zero = df.agg(
@@ -385,14 +388,14 @@ def fit_models(
                 s.done = True
     nulls = llnull or {}
     fits = [
-        None if s.point is None or s.score is None else s.result(cov_type, nulls.get(null_key(s.spec), math.nan))
-        for s in states
+        None if s.point is None or s.score is None else s.result(kind, nulls.get(null_key(s.spec), math.nan))
+        for s, kind in zip(states, kinds, strict=True)
     ]
     # Where the dispersion vanishes, the maximum is the nested model without it.
     bare = [i for i, s in enumerate(states) if fits[i] is not None and s.without_dispersion()]
     if bare:
         nested = [Spec(_WITHOUT_DISPERSION[specs[i].family], specs[i].exog, specs[i].inf, link=specs[i].link) for i in bare]
-        for i, f in zip(bare, fit_models(df, y, nested, cov_type, weight, [states[i].point[:-1] for i in bare], max_rounds=max_rounds)):
+        for i, f in zip(bare, fit_models(df, y, nested, [kinds[i] for i in bare], weight, [states[i].point[:-1] for i in bare], max_rounds=max_rounds)):
             if f is not None and f.converged and f.llf >= fits[i].llf - 1e-6 * (1 + abs(fits[i].llf)):
                 fits[i] = f.at_no_dispersion(specs[i], fits[i].llnull)
     return fits

@@ -10,7 +10,8 @@ from dataclasses import asdict, dataclass, replace
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from raretide.operators.regress import CONST, Fit, Spec, fit_models, null_key, null_log_likelihoods
+from raretide.operators.regress import Fit, Spec, fit_models, null_key, null_log_likelihoods
+from raretide.operators.search import Search, Wanted, run_searches
 
 CRITERIA = {"AIC": lambda f: f.aic, "BIC": lambda f: f.bic, "LLF": lambda f: -f.llf}
 STRICTNESS = ("low", "medium", "high")
@@ -171,45 +172,30 @@ class StepwiseZeroInflated:
             known["alpha"] = math.log(known["alpha"])
         return np.array([known.get(name, 0.0) for name in spec.names])
 
-    def _fit_all(self, df: DataFrame, y: str, pairs: Sequence[tuple[Sequence[str], Sequence[str]]]) -> list[Fit | None]:
+    def _fit_all(self, pairs: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Search:
         """Graded fits of (exog, inf) pairs; ``None`` where the fit failed or its grade is not accepted."""
+        c = self.config
         keys = [(tuple(e), tuple(i)) for e, i in pairs]
         todo = [k for k in dict.fromkeys(keys) if k not in self._fits]
         if todo:
             specs = [self._spec(*k) for k in todo]
-            fits = fit_models(
-                df, y, specs, self.config.cov_type, starts=[self._warm_start(s) for s in specs],
-                llnull=self._nulls, max_rounds=self.config.max_fit_iterations,
-            )
-            for k, f in zip(todo, self._grade(df, fits)):
-                self._fits[k] = f
+            answers = yield [Wanted(s, c.cov_type, self._warm_start(s), c.convergence_strictness == "high", c.max_fit_iterations) for s in specs]
+            for k, (f, spread) in zip(todo, answers, strict=True):
+                self._fits[k] = self._graded(f, spread)
         return [self._fits[k] for k in keys]
 
-    def _grade(self, df: DataFrame, fits: Sequence[Fit | None]) -> list[Fit | None]:
+    def _graded(self, f: Fit | None, spread: tuple[float, float, float] | None) -> Fit | None:
         level = STRICTNESS.index(self.config.convergence_strictness)
-        spreads: dict[int, tuple] = {}
-        if level == 2 and any(f is not None for f in fits):
-            aggregates = []
-            for i, f in enumerate(fits):
-                if f is not None:
-                    m = f.mean()
-                    aggregates.append(F.struct(F.min(m), F.max(m), F.stddev_pop(m)).alias(f"f{i}"))
-            row = df.agg(*aggregates).first().asDict()
-            spreads = {int(k[1:]): tuple(v) for k, v in row.items()}
-        out = []
-        for i, f in enumerate(fits):
-            self.stats["total_fits"] += 1
-            if f is None:
-                self.stats["numerical_issues"] += 1
-                out.append(None)
-                continue
-            good = converged_basic(f) and (level < 1 or numerically_stable(f))
-            good = good and (level < 2 or converged_advanced(f, spreads[i], self.config.max_fit_iterations))
-            self.stats["converged_fits" if good else "failed_convergence"] += int(good or self.config.require_convergence)
-            if not good and not self.config.require_convergence:
-                warnings.warn(f"accepted a fit of grade below {self.config.convergence_strictness}", stacklevel=2)
-            out.append(f if good or not self.config.require_convergence else None)
-        return out
+        self.stats["total_fits"] += 1
+        if f is None:
+            self.stats["numerical_issues"] += 1
+            return None
+        good = converged_basic(f) and (level < 1 or numerically_stable(f))
+        good = good and (level < 2 or converged_advanced(f, spread, self.config.max_fit_iterations))
+        self.stats["converged_fits" if good else "failed_convergence"] += int(good or self.config.require_convergence)
+        if not good and not self.config.require_convergence:
+            warnings.warn(f"accepted a fit of grade below {self.config.convergence_strictness}", stacklevel=2)
+        return f if good or not self.config.require_convergence else None
 
     def fit_baseline(self, df: DataFrame, y: str) -> Fit | None:
         """Constants only, from the histogram of ``y``; not graded."""
@@ -230,7 +216,7 @@ class StepwiseZeroInflated:
             return self.fit_baseline(df, y)
         if not self._nulls:
             self._nulls = null_log_likelihoods(df, y, [self._spec((), ())])
-        return self._fit_all(df, y, [(exog_features or (), inf_features or ())])[0]
+        return run_searches(df, y, [self._fit_all([(exog_features or (), inf_features or ())])], self._nulls)[0][0]
 
     # -- search --------------------------------------------------------------------------------------------
 
@@ -240,9 +226,11 @@ class StepwiseZeroInflated:
             tries.append((exog + [feature], inf + [feature]))
         return tries
 
-    def _best(self, df, y, pairs) -> tuple[float, tuple[list[str], list[str]], Fit] | None:
+    def _best(self, pairs) -> Search:
+        """(criterion, pair, fit) of the best of the pairs whose features are all significant, or ``None``."""
         best = None
-        for pair, f in zip(pairs, self._fit_all(df, y, pairs)):
+        fits = yield from self._fit_all(pairs)
+        for pair, f in zip(pairs, fits, strict=True):
             if f is None or not features_significant(f, self.config.alpha):
                 continue
             value = self.criterion(f)
@@ -252,16 +240,27 @@ class StepwiseZeroInflated:
 
     def fit(self, df: DataFrame, y: str = "frauds", features: Sequence[str] | None = None) -> "StepwiseZeroInflated":
         """``df`` is read in every round: pass a staged or persisted table."""
-        c = self.config
-        self._reset()
         features = [f for f in (features or df.columns) if f not in (y, "date_window")]
         data = check_model_input(df, y, features)
-        self.feature_names_in_, self.y_ = features, y
-        order = shuffled(features, c.shuffle_random_state) if c.shuffle_features else features
+        baseline, nulls = self.baseline_of(data, y)
+        run_searches(data, y, [self.search(y, features, baseline, data.count() if baseline is None else None)], nulls)
+        return self
 
+    def baseline_of(self, data: DataFrame, y: str) -> tuple[Fit | None, dict[str, float]]:
+        """The constant-only fit (``None`` if it has no likelihood) and the null log-likelihoods that go with it."""
         baseline = self.fit_baseline(data, y)
         if baseline is None or not math.isfinite(baseline.llf):
-            best = data.count() * (10.0 if c.selection_criterion in ("AIC", "BIC") else 5.0)
+            return None, {}
+        return baseline, {null_key(baseline.spec): baseline.llf}
+
+    def search(self, y: str, features: Sequence[str], baseline: Fit | None, rows: int | None = None) -> Search:
+        """The whole selection as a search to be run by ``run_searches``. ``rows`` is needed without a baseline."""
+        c = self.config
+        self._reset()
+        self.feature_names_in_, self.y_ = list(features), y
+        order = shuffled(features, c.shuffle_random_state) if c.shuffle_features else list(features)
+        if baseline is None:
+            best = rows * (10.0 if c.selection_criterion in ("AIC", "BIC") else 5.0)
         else:
             best = self.criterion(baseline)
             self._nulls = {null_key(baseline.spec): baseline.llf}
@@ -277,17 +276,17 @@ class StepwiseZeroInflated:
                 break
             before = best
             tries = {f: self._additions(f, exog, inf) for f in candidates}
-            self._fit_all(data, y, [pair for pairs in tries.values() for pair in pairs])
+            yield from self._fit_all([pair for pairs in tries.values() for pair in pairs])
             addition = None
             for f in candidates:
-                found = self._best(data, y, tries[f])
+                found = yield from self._best(tries[f])
                 if found is None or not found[0] < best:
                     excluded.append(f)
                 elif addition is None or found[0] < addition[0]:
                     addition = found
             if addition:
                 best, (exog, inf), self._current = addition
-                smaller = self._removal(data, y, exog, inf, best)
+                smaller = yield from self._removal(exog, inf, best)
                 if smaller:
                     best, (exog, inf), self._current = smaller
             criteria.append(best)
@@ -301,13 +300,13 @@ class StepwiseZeroInflated:
         self.final_model_ = self._fits[tuple(exog), tuple(inf)] if exog or inf else baseline
         return self
 
-    def _removal(self, df, y, exog, inf, current: float):
+    def _removal(self, exog, inf, current: float) -> Search:
         """The best model with one feature less (out of both parts) that is no worse than ``current``."""
         names = list(dict.fromkeys(exog + inf))
         if len(exog) + len(inf) <= 1:
             return None
         pairs = [([f for f in exog if f != n], [f for f in inf if f != n]) for n in names]
-        found = self._best(df, y, pairs)
+        found = yield from self._best(pairs)
         return found if found and found[0] <= current + self.config.tolerance else None
 
     def _remember(self, iteration: int, exog: list[str], inf: list[str], criterion: float, improvement: float) -> None:
@@ -389,21 +388,32 @@ class RandomFeatureSelector:
 
     def fit(self, df: DataFrame, y: str = "frauds", features: Sequence[str] | None = None) -> "RandomFeatureSelector":
         features = [f for f in (features or df.columns) if f not in (y, "date_window")]
+        self.draw(features)
+        data = check_model_input(df, y, features)
+        baseline, nulls = self.estimator.baseline_of(data, y)
+        run_searches(data, y, self.searches(y, baseline, data.count() if baseline is None else None), nulls)
+        return self.rated()
+
+    def draw(self, features: Sequence[str]) -> "RandomFeatureSelector":
+        """Draws the subsets, ``max_features`` of the columns each."""
         rng = np.random.RandomState(self.random_state)
         size = math.ceil(self.max_features * len(features))
-        self._models, self.feature_subsets_, self.scores_ = [], [], []
+        self.feature_subsets_ = [[features[i] for i in rng.choice(len(features), size, replace=False)] for _ in range(self.n_estimators)]
+        return self
+
+    def searches(self, y: str, baseline: Fit | None, rows: int | None = None) -> list[Search]:
+        """A search for each subset; all of them read the same rows in the same passes."""
+        self._models = [self.estimator.clone() for _ in self.feature_subsets_]
+        return [m.search(y, subset, baseline, rows) for m, subset in zip(self._models, self.feature_subsets_, strict=True)]
+
+    def rated(self) -> "RandomFeatureSelector":
+        """Scores the finished runs; the first of the highest score is the best one."""
+        self.scores_ = [self.scoring_fn(m) for m in self._models] if self.scoring_fn is not None else []
         self.best_estimator_ = self.best_features_ = None
         top = -math.inf
-        for _ in range(self.n_estimators):
-            subset = [features[i] for i in rng.choice(len(features), size, replace=False)]
-            model = self.estimator.clone().fit(df, y, subset)
-            self._models.append(model)
-            self.feature_subsets_.append(subset)
-            if self.scoring_fn is not None:
-                score = self.scoring_fn(model)
-                self.scores_.append(score)
-                if score > top:
-                    top, self.best_estimator_, self.best_features_ = score, model, subset
+        for model, subset, score in zip(self._models, self.feature_subsets_, self.scores_):
+            if score > top:
+                top, self.best_estimator_, self.best_features_ = score, model, subset
         return self
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
@@ -444,11 +454,15 @@ def glm_backward(
     df: DataFrame, y: str, columns: Sequence[str], family: str, alpha: float | None = None, p_limit: float = 0.05
 ) -> Fit | None:
     """Drop the least significant regressor until all have p < ``p_limit``."""
-    kept = list(columns)
     nulls = null_log_likelihoods(df, y, [Spec(family, alpha=alpha)])
-    start = None
+    return run_searches(df, y, [backward_search(columns, family, alpha, p_limit)], nulls)[0]
+
+
+def backward_search(columns: Sequence[str], family: str, alpha: float | None = None, p_limit: float = 0.05) -> Search:
+    """``glm_backward`` as a search: the last fit."""
+    kept, start = list(columns), None
     while True:
-        f = fit_models(df, y, [Spec(family, tuple(kept), alpha=alpha)], starts=[start], llnull=nulls)[0]
+        f = (yield [Wanted(Spec(family, tuple(kept), alpha=alpha), start=start)])[0][0]
         if f is None or not kept:
             return f
         p = [1.0 if math.isnan(v) else v for v in f.p_of("count")]

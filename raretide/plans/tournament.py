@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from raretide.operators import diagnostics as D, stepwise as S
 from raretide.operators.counts import model_metrics
-from raretide.operators.regress import Fit, Spec, fit_models, null_log_likelihoods
+from raretide.operators.regress import Fit, Spec, null_log_likelihoods
+from raretide.operators.search import Search, Wanted, run_searches
 
 # Report names; the NB generalised linear model has dispersion 1.
 FAMILIES = {"Poisson": ("poisson", None), "Binomial": ("negbin", 1.0), "ZIP": ("zip", None), "ZINB": ("zinb", None)}
@@ -30,37 +30,45 @@ def _named(family: str, columns: Sequence[str], alpha: float | None) -> Spec:
     return Spec(family, tuple(columns), tuple(columns) if family in ("zip", "zinb") else (), alpha=alpha)
 
 
+def _simple_and_full(features: Sequence[str], family: str, alpha: float | None) -> Search:
+    """The best model of one feature, and that of all."""
+    singles = [Wanted(_named(family, [c], alpha)) for c in features]
+    *fits, full = [f for f, _ in (yield [*singles, Wanted(_named(family, features, alpha))])]
+    usable = [f for f in fits if f is not None and f.llf == f.llf]
+    return max(usable, key=lambda f: f.llf, default=None), full
+
+
 def run(
     df: DataFrame, y: str, features: Sequence[str], config: TournamentConfig = TournamentConfig()
 ) -> dict[str, Fit]:
-    """Fits by title. ``df`` is read many times: stage it first."""
-    nulls = null_log_likelihoods(df, y, [Spec(f, alpha=a) for f, a in FAMILIES.values()])
-
-    def of_family(name: str) -> dict[str, Fit | None]:
-        family, alpha = FAMILIES[name]
-        singles = {c: f.llf for c, f in S.screen(df, y, features, family, alpha).items() if f.llf == f.llf}
-        specs = [_named(family, [max(singles, key=singles.get)], alpha), _named(family, features, alpha)]
-        simple, full = fit_models(df, y, specs, llnull=nulls)
-        return {f"{name} Simples": simple, f"{name} Completo": full, f"{name} Stepwise": _stepwise(df, y, features, name, config)}
-
-    # the families do not depend on each other, so their passes may share the cluster
-    with ThreadPoolExecutor(len(FAMILIES)) as pool:
-        found = list(pool.map(of_family, FAMILIES))
-    return {title: f for fits in found for title, f in fits.items() if f is not None}
-
-
-def _stepwise(df: DataFrame, y: str, features: Sequence[str], name: str, config: TournamentConfig) -> Fit | None:
-    family, alpha = FAMILIES[name]
-    if family in ("poisson", "negbin"):
-        return S.glm_backward(df, y, features, family, alpha, config.p_limit)
-    search = S.StepwiseZeroInflated(
-        model_type=family.upper(), selection_criterion=config.criterion, cov_type=config.cov_type
-    )
-    runs = S.RandomFeatureSelector(
-        search, config.n_estimators, config.max_features, config.random_state,
-        scoring_fn=lambda m: m.final_model_.llf if m.final_model_ else float("-inf"),
-    ).fit(df, y, features)
-    return runs.best_estimator_.final_model_ if runs.best_estimator_ else None
+    """Fits by title. ``df`` is read many times: stage it first. All searches of all families share their passes."""
+    data = S.check_model_input(df, y, features)
+    nulls = null_log_likelihoods(data, y, [Spec(f, alpha=a) for f, a in FAMILIES.values()])
+    searches: list[Search] = [_simple_and_full(features, *of) for of in FAMILIES.values()]
+    selectors: dict[str, S.RandomFeatureSelector] = {}
+    at: dict[str, int] = {}
+    for name, (family, alpha) in FAMILIES.items():
+        at[name] = len(searches)
+        if family in ("poisson", "negbin"):
+            searches.append(S.backward_search(features, family, alpha, config.p_limit))
+            continue
+        estimator = S.StepwiseZeroInflated(model_type=family.upper(), selection_criterion=config.criterion, cov_type=config.cov_type)
+        selector = selectors[name] = S.RandomFeatureSelector(
+            estimator, config.n_estimators, config.max_features, config.random_state,
+            scoring_fn=lambda m: m.final_model_.llf if m.final_model_ else float("-inf"),
+        ).draw(features)
+        baseline, _ = estimator.baseline_of(data, y)
+        searches += selector.searches(y, baseline, data.count() if baseline is None else None)
+    results = run_searches(data, y, searches, nulls)
+    found: dict[str, Fit | None] = {}
+    for name, (simple, full) in zip(FAMILIES, results):
+        if name in selectors:
+            best = selectors[name].rated().best_estimator_
+            stepwise = best.final_model_ if best else None
+        else:
+            stepwise = results[at[name]]
+        found |= {f"{name} Simples": simple, f"{name} Completo": full, f"{name} Stepwise": stepwise}
+    return {title: f for title, f in found.items() if f is not None}
 
 
 def metrics(df: DataFrame, y: str, fits: dict[str, Fit]) -> DataFrame:

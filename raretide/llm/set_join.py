@@ -39,6 +39,8 @@ PAIR_COST = 4
 SHARD_KEYS, HELD_KEYS, HOT = 1_000_000, 400_000, 256
 # Texts that share a key: up to FEW all pairs are listed at once; BLOCK is the size of a cell for the others.
 FEW, BLOCK = 8, 1024
+# Of the keys that a text shares with many, the first few; they tell in which of its cells a pair is compared.
+FIRST_KEYS = 16
 _U = np.uint64
 
 
@@ -307,11 +309,13 @@ def open_pairs(members: DataFrame, marked: DataFrame) -> DataFrame:
     """(a, b): pairs of texts that share a key of ``members`` (run, node), are still in different components (``root`` of
     ``marked``) and are not ruled out by sizes and sketches.
 
-    Runs of one component are left out. Others are dealt into slots: a component that fills a block has slots of its
+    A pair that shares several keys is left to the first one that is known to both, so it is listed about once. Runs of
+    one component are left out. Others are dealt into slots: a component that fills a block has slots of its
     own. Two slots meet in a cell unless both hold one and the same component, so a component of any size that meets
     few strangers is moved once for each slot of strangers.
     """
-    with_root = stage(members.join(marked.select("node", "root", "size", "bits"), "node"), "run-members")
+    firsts = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRST_KEYS).alias("firsts"))
+    with_root = stage(members.join(firsts, "node").join(marked.select("node", "root", "size", "bits"), "node"), "run-members")
     groups = with_root.groupBy("run", "root").agg(F.count(F.lit(1)).alias("n"))
     runs = groups.groupBy("run").agg(F.sum("n").alias("run_n"), F.count(F.lit(1)).alias("run_roots")).where("run_roots > 1")
     groups = stage(groups.join(runs, "run"), "run-components")
@@ -320,7 +324,7 @@ def open_pairs(members: DataFrame, marked: DataFrame) -> DataFrame:
     groups = groups.select("run", "root", own.alias("own"), slots.alias("slots"))
     # A slot's number: by component for slots of its own, by hash of the component for those that components share.
     dealt = with_root.join(groups, ["run", "root"]).select(
-        "run", "node", "root", "size", "bits", "own",
+        "run", "node", "root", "size", "bits", "firsts", "own",
         F.expr("case when own is null then pmod(xxhash64(root), slots) else xxhash64(own, pmod(xxhash64(node), slots)) end").alias("slot"))
     numbered = groups.where("own is null").select("run", "own", F.expr("pmod(xxhash64(root), slots)").alias("slot")).union(
         groups.where("own is not null").select("run", "own", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("k")).select(
@@ -329,7 +333,7 @@ def open_pairs(members: DataFrame, marked: DataFrame) -> DataFrame:
     one, two = (numbered.select("run", F.col("own").alias(f"own_{c}"), F.col("slot").alias(c)) for c in "ij")
     cells = one.join(two, "run").where("(i < j and not coalesce(own_i = own_j, false)) or (i = j and own_i is null)").select("run", "i", "j")
     sides = [dealt.join(cells.withColumn("slot", F.col(c)), ["run", "slot"]) for c in "ij"]
-    rows = sides[0].union(sides[1].where("i <> j")).select("run", "i", "j", "slot", "node", "root", "size", "bits")
+    rows = sides[0].union(sides[1].where("i <> j")).select("run", "i", "j", "slot", "node", "root", "size", "bits", "firsts")
 
     def run(batches):
         key, cell = None, []
@@ -340,19 +344,24 @@ def open_pairs(members: DataFrame, marked: DataFrame) -> DataFrame:
                 slot, node, root, size = (np.array([r[k] for r in cell], t) for k, t in ((0, np.int64), (1, f"V{DIGEST}"), (2, f"V{DIGEST}"), (3, np.int64)))
                 number = np.unique(root.view(np.uint8).reshape(-1, DIGEST), axis=0, return_inverse=True)[1].ravel()
                 bits = np.frombuffer(b"".join(r[4] for r in cell), _U).reshape(-1, BITS // 64)
+                firsts = np.full((len(cell), FIRST_KEYS), key[0], np.int64)
+                for k, r in enumerate(cell):
+                    firsts[k, :len(r[5])] = np.minimum(r[5], key[0])  # only keys before this one matter
                 for k in range(1, len(cell)):
                     apart = number[:k] != number[k]
                     if key[1] != key[2]:
                         apart &= slot[:k] != slot[k]
                     at = np.flatnonzero(apart & (np.abs(size[:k] - size[k]) * (OF + NEEDS) <= (size[:k] + size[k]) * (OF - NEEDS)))
-                    for m in at[_may_be_linked(size[at], size[k], bits[at], bits[k])].tolist():
+                    at = at[_may_be_linked(size[at], size[k], bits[at], bits[k])]
+                    earlier = firsts[k][firsts[k] < key[0]]
+                    for m in at[~(firsts[at][:, :, None] == earlier).any(axis=(1, 2))].tolist():
                         a, b = sorted((node[m].tobytes(), node[k].tobytes()))
                         left.append(a)
                         right.append(b)
             return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("run", "i", "j", "slot", "node", "root", "size", "bits")]
+            columns = [batch.column(c).to_pylist() for c in ("run", "i", "j", "slot", "node", "root", "size", "bits", "firsts")]
             for r, i, j, *row in zip(*columns, strict=True):
                 if (r, i, j) != key:
                     yield close()

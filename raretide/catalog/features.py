@@ -153,18 +153,25 @@ def _(spark, d):
     return rows.select("id", "description").join(broadcast_if_small(flags), "description", "left")
 
 
-_UNIFORM = """WITH ends AS (SELECT min(amount / 1000) AS lo, max(amount / 1000) AS hi FROM clean),
-  binned AS (SELECT w.date_window, w.amount, w.id, """ + " + ".join(
-    f"CASE WHEN w.amount / 1000 >= e.lo + {k} * ((e.hi - e.lo) / 5) THEN 1 ELSE 0 END" for k in range(1, 5)
-) + " AS bin FROM w360 w CROSS JOIN ends e)"
+# Every column that the count rule bins: each has 50 distinct values or more from sf0.01 on, hence five bins.
+_BINNED = ("amount", "per_capita_income", "total_debt", "credit_score", "credit_limit", "current_age")
+_SCALE = {"amount": 1000, "per_capita_income": 1000, "total_debt": 10000, "credit_score": 100, "credit_limit": 10000, "current_age": 1}
+_ENDS = ", ".join(f"min({c} / {_SCALE[c]}.0) AS lo_{c}, max({c} / {_SCALE[c]}.0) AS hi_{c}" for c in _BINNED)
+_BINS = ", ".join(
+    " + ".join(f"CASE WHEN {c} / {_SCALE[c]}.0 >= lo_{c} + {k} * ((hi_{c} - lo_{c}) / 5) THEN 1 ELSE 0 END" for k in range(1, 5))
+    + f" AS bin_{c}" for c in _BINNED)
+_UNIFORM = f"WITH ends AS (SELECT {_ENDS} FROM clean), binned AS (SELECT *, {_BINS} FROM w360 CROSS JOIN ends)"
+
 
+def _share_sql(first: int = 0) -> str:
+    return ", ".join(r(f"avg(CASE WHEN bin_{c} = {k} THEN 1.0 ELSE 0.0 END)", B.bin_column_name(c, k))
+                     for c in _BINNED for k in range(first, 5))
 
-@query("agg9_bin_mix", "AGG9", "JN7", "JN8", sql=f"""{_UNIFORM} SELECT date_window, """ + ", ".join(
-    r(f"avg(CASE WHEN bin = {k} THEN 1.0 ELSE 0.0 END)", B.bin_column_name("amount", k)) for k in range(5)
-) + " FROM binned GROUP BY date_window")
+
+@query("agg9_bin_mix", "AGG9", "JN7", "JN8", sql=f"{_UNIFORM} SELECT date_window, {_share_sql()} FROM binned GROUP BY date_window")
 def _(spark, d):
-    rows = W.add_window(staged_rows(spark, d, "date", "amount"), "360m")
-    return rows.groupBy(WIN).agg(*B.bin_shares(B.plan_bins(rows, columns=["amount"])))
+    rows = W.add_window(staged_rows(spark, d, "date", *B.BINNED_COLUMNS), "360m")
+    return rows.groupBy(WIN).agg(*B.bin_shares(B.plan_bins(rows)))
 
 
 @query("agg10_bucket_sums", "AGG10", "AGG11", "AGG12", "AGG14", "AGG15", sql=f"""SELECT date_trunc('hour', date) AS date_window,
@@ -222,12 +229,15 @@ def _(spark, d):
     return R.correlation(_corr_rows(spark, d), _CORR, "spearman").to_frame(spark)
 
 
-@query("agg18_kendall", "AGG18", sql=_CORR_ROWS + f"""SELECT 'frauds' AS "left", 'total_amount' AS "right",
-  {r('''sum(sign(a.frauds - b.frauds) * sign(a.total_amount - b.total_amount))
-     / sqrt(1.0 * count(*) FILTER (WHERE a.frauds <> b.frauds) * count(*) FILTER (WHERE a.total_amount <> b.total_amount))''', 'r')}
-  FROM t a, t b WHERE a.date_window < b.date_window""")
+def _tau_sql(a: str, b: str) -> str:
+    value = f"""sum(sign(s.{a} - t.{a}) * sign(s.{b} - t.{b}))
+      / sqrt(1.0 * count(*) FILTER (WHERE s.{a} <> t.{a}) * count(*) FILTER (WHERE s.{b} <> t.{b}))"""
+    return f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {r(value, 'r')} FROM t s, t WHERE s.date_window < t.date_window"
+
+
+@query("agg18_kendall", "AGG18", sql=_CORR_ROWS + " " + " UNION ALL ".join(_tau_sql(a, b) for a, b in combinations(_CORR, 2)))
 def _(spark, d):
-    return R.correlation(_corr_rows(spark, d), ["frauds", "total_amount"], "kendall").to_frame(spark)
+    return R.correlation(_corr_rows(spark, d), _CORR, "kendall").to_frame(spark)
 
 
 @query("agg19_variances", "AGG19", sql=_CORR_ROWS + " " + " UNION ALL ".join(
@@ -422,38 +432,49 @@ def _(spark, d):
     return spark.createDataFrame(list(sizes.items()), "column string, n_bins int")
 
 
-@query("fe9_uniform_bins", "FE9", "FE11", "AGG20", sql=f"{_UNIFORM} SELECT id, bin FROM binned")
+def _bin_numbers(rows, bins):
+    return rows.select("id", *[b.bin_of().alias(f"bin_{c}") for c, b in bins.items()])
+
+
+_BIN_NAMES = ", ".join(f"bin_{c}" for c in _BINNED)
+
+
+@query("fe9_uniform_bins", "FE9", "FE11", "AGG20", sql=f"{_UNIFORM} SELECT id, {_BIN_NAMES} FROM binned")
 def _(spark, d):
-    rows = staged_rows(spark, d, "id", "amount")
-    return rows.select("id", B.plan_bins(rows, columns=["amount"])["amount"].bin_of().alias("bin"))
+    rows = staged_rows(spark, d, "id", *B.BINNED_COLUMNS)
+    return _bin_numbers(rows, B.plan_bins(rows))
 
 
-_QEDGES = "WITH q AS (SELECT " + ", ".join(f"quantile_cont(amount / 1000, {k / 5}) AS e{k}" for k in range(6)) + " FROM clean)"
+_QEDGES = "WITH q AS (SELECT " + ", ".join(
+    f"quantile_cont({c}::DOUBLE, {k / 5}) / {_SCALE[c]}.0 AS e{k}_{c}" for c in _BINNED for k in range(1, 5)) + " FROM clean)"
 
 
-@query("fe10_quantile_bins", "FE10", sql=_QEDGES + " SELECT c.id, " + " + ".join(
-    f"CASE WHEN c.amount / 1000 >= q.e{k} THEN 1 ELSE 0 END" for k in range(1, 5)) + " AS bin FROM clean c CROSS JOIN q")
+@query("fe10_quantile_bins", "FE10", sql=_QEDGES + " SELECT c.id, " + ", ".join(" + ".join(
+    f"CASE WHEN c.{c} / {_SCALE[c]}.0 >= q.e{k}_{c} THEN 1 ELSE 0 END" for k in range(1, 5)) + f" AS bin_{c}" for c in _BINNED)
+       + " FROM clean c CROSS JOIN q")
 def _(spark, d):
-    rows = staged_rows(spark, d, "id", "amount")
-    return rows.select("id", B.plan_bins(rows, "quantile", ["amount"])["amount"].bin_of().alias("bin"))
+    rows = staged_rows(spark, d, "id", *B.BINNED_COLUMNS)
+    return _bin_numbers(rows, B.plan_bins(rows, "quantile"))
 
 
-_INTERVALS = """WITH s AS (SELECT min(amount) AS lo, max(amount) AS hi, median(amount) AS mid FROM clean), b AS (SELECT unnest(range(5)) AS i)"""
+_INTERVALS = "WITH s AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {_SCALE[c]}.0::DOUBLE AS k, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, median({c})::DOUBLE AS mid FROM clean"
+    for c in _BINNED) + "), b AS (SELECT unnest(range(5)) AS i)"
 
 
-@query("fe12_intervals", "FE12", sql=_INTERVALS + f""" SELECT 'amount' AS "column", CAST(i AS INT) AS bin_id,
-  {r('lo / 1000 + i * ((hi - lo) / 5000)', 'lower_bound')}, {r('lo / 1000 + (i + 1) * ((hi - lo) / 5000)', 'upper_bound')},
-  true AS is_left_inclusive, i = 4 AS is_right_inclusive, 5 AS n_bins, 'uniform' AS strategy, 1000.0::DOUBLE AS scale_factor,
-  {r('lo / 1000', 'min_value')}, {r('hi / 1000', 'max_value')}, {r('mid / 1000', 'median_value')} FROM s CROSS JOIN b""")
+@query("fe12_intervals", "FE12", sql=_INTERVALS + f""" SELECT "column", CAST(i AS INT) AS bin_id,
+  {r('lo / k + i * ((hi / k - lo / k) / 5)', 'lower_bound')}, {r('lo / k + (i + 1) * ((hi / k - lo / k) / 5)', 'upper_bound')},
+  true AS is_left_inclusive, i = 4 AS is_right_inclusive, 5 AS n_bins, 'uniform' AS strategy, k AS scale_factor,
+  {r('lo / k', 'min_value')}, {r('hi / k', 'max_value')}, {r('mid / k', 'median_value')} FROM s CROSS JOIN b""")
 def _(spark, d):
-    return B.interval_table(spark, B.plan_bins(staged_rows(spark, d, "amount"), columns=["amount"]))
+    return B.interval_table(spark, B.plan_bins(staged_rows(spark, d, *B.BINNED_COLUMNS)))
 
 
-@query("fe12_intervals_original", "FE12", sql=_INTERVALS + f""" SELECT 'amount' AS "column", CAST(i AS INT) AS bin_id,
+@query("fe12_intervals_original", "FE12", sql=_INTERVALS + f""" SELECT "column", CAST(i AS INT) AS bin_id,
   {r('lo + i * ((hi - lo) / 5)', 'lower_bound')}, {r('lo + (i + 1) * ((hi - lo) / 5)', 'upper_bound')},
   {r('lo', 'min_value')}, {r('hi', 'max_value')}, {r('mid', 'median_value')} FROM s CROSS JOIN b""")
 def _(spark, d):
-    table = B.interval_table(spark, B.plan_bins(staged_rows(spark, d, "amount"), columns=["amount"]), original=True)
+    table = B.interval_table(spark, B.plan_bins(staged_rows(spark, d, *B.BINNED_COLUMNS)), original=True)
     return table.select("column", "bin_id", "lower_bound", "upper_bound", "min_value", "max_value", "median_value")
 
 
@@ -479,29 +500,32 @@ def _(spark, d):
     return C.cluster_mix(cells, clusters, C.CATEGORIES)
 
 
-@query("fe14_pruned_columns", "FE14", "FE15")
-def _(spark, d):
-    table = _corr_rows(spark, d)
-    kept = [c for c in _CORR if c != "frauds"]
-    gone = set(R.columns_to_prune(R.correlation(table, kept)))
-    return spark.createDataFrame([(c, c in gone) for c in kept], "column string, pruned boolean")
+def _scan_sql(table: str, columns) -> str:
+    """The scan over the pairs of ``columns`` of ``table``, one pair a step; ``gone.gone`` lists what it removes."""
+    pairs = " UNION ALL ".join(
+        f"SELECT {k} AS k, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, var_samp({a}) AS va, var_samp({b}) AS vb FROM {table}"
+        for k, (a, b) in enumerate(combinations(columns, 2)))
+    over = f"abs(p.r) > {R.THRESHOLD} AND NOT isnan(p.r) AND NOT list_contains(g.gone, p.a) AND NOT list_contains(g.gone, p.b)"
+    return f"""pairs AS ({pairs}),
+  scan AS (SELECT 0 AS k, []::VARCHAR[] AS gone UNION ALL
+    SELECT g.k + 1, CASE WHEN {over} THEN list_append(g.gone, CASE WHEN p.va < p.vb THEN p.a ELSE p.b END) ELSE g.gone END
+    FROM scan g JOIN pairs p ON p.k = g.k),
+  gone AS (SELECT gone FROM scan ORDER BY k DESC LIMIT 1)"""
 
 
-_BINNED = ("amount", "per_capita_income", "total_debt", "credit_score", "credit_limit", "current_age")
-_SCALE = {"amount": 1000, "per_capita_income": 1000, "total_debt": 10000, "credit_score": 100, "credit_limit": 10000, "current_age": 1}
+_PRUNABLE = [c for c in _CORR if c != "frauds"]
+
+
+@query("fe14_pruned_columns", "FE14", "FE15", sql=_CORR_ROWS + ", " + _scan_sql("t", _PRUNABLE) +
+       f" SELECT c AS \"column\", list_contains(gone, c) AS pruned FROM gone, (SELECT unnest({_PRUNABLE}) AS c) q")
+def _(spark, d):
+    gone = set(R.columns_to_prune(R.correlation(_corr_rows(spark, d), _PRUNABLE)))
+    return spark.createDataFrame([(c, c in gone) for c in _PRUNABLE], "column string, pruned boolean")
 
 
 def _builder_sql(first: int = 0) -> str:
-    """Base features and equal-width shares of the six binned columns; each has 50 distinct values or more
-    from sf0.01 on, hence five bins."""
-    ends = ", ".join(f"min({c} / {_SCALE[c]}.0) AS lo_{c}, max({c} / {_SCALE[c]}.0) AS hi_{c}" for c in _BINNED)
-    bins = ", ".join(
-        " + ".join(f"CASE WHEN {c} / {_SCALE[c]}.0 >= lo_{c} + {k} * ((hi_{c} - lo_{c}) / 5) THEN 1 ELSE 0 END" for k in range(1, 5))
-        + f" AS bin_{c}" for c in _BINNED)
-    shares = ", ".join(r(f"avg(CASE WHEN bin_{c} = {k} THEN 1.0 ELSE 0.0 END)", B.bin_column_name(c, k))
-                       for c in _BINNED for k in range(first, 5))
-    base = _BASE_SQL.replace("FROM w360 GROUP BY date_window", f", {shares} FROM binned GROUP BY date_window")
-    return f"WITH ends AS (SELECT {ends} FROM clean), binned AS (SELECT *, {bins} FROM w360 CROSS JOIN ends) {base}"
+    """Base features and equal-width shares of the binned columns."""
+    return _UNIFORM + " " + _BASE_SQL.replace("FROM w360 GROUP BY date_window", f", {_share_sql(first)} FROM binned GROUP BY date_window")
 
 
 # What the builder reads of a row, besides the category columns.
@@ -539,14 +563,26 @@ def _(spark, d):
     return WindowDataBuilder(staged_rows(spark, d, *_BUILDER, *C.CATEGORIES)).build("360m", remove_first_discretized=True)[0]
 
 
-@query("fe15_protected_columns", "FE15", sql=_BASE_SQL)
+# Columns of the builder's table without bins, and those that it must keep whatever they correlate with. Windows of
+# ten minutes hold few rows, so the least, mean and greatest value of a column lie close together.
+_PLAIN_COLUMNS = ("transaction_per_client", "transaction_per_merchant", *[
+    f"{name}_{c}" for c in _STATS for name in ("min", "mean", "max") if c != "amount" or name == "mean"])
+_PROTECTED = ("mean_total_debt", "mean_credit_limit")
+_PLAIN_TABLE = _BASE_SQL.replace("FROM w360", f", {_PLAIN_STATS} FROM w10")
+
+
+@query("fe15_protected_columns", "FE15", "FE14", sql=f"""WITH w10 AS (
+    SELECT *, make_timestamp(epoch_us(date) // 600000000 * 600000000) AS date_window FROM clean), t AS ({_PLAIN_TABLE}), """
+       + _scan_sql("t", [c for c in _PLAIN_COLUMNS if c not in _PROTECTED])
+       + ' SELECT u.date_window, u."column", u.value FROM ('
+       + " UNION ALL ".join(f"SELECT date_window, '{c}' AS \"column\", {c}::DOUBLE AS value FROM t" for c in _PLAIN_COLUMNS)
+       + ') u, gone WHERE NOT list_contains(gone, u."column")')
 def _(spark, d):
-    """Every candidate column is protected, so pruning at any correlation removes nothing."""
-    rows = _without_categories(spark, d)
-    names = ["transaction_per_client", "transaction_per_merchant"]
-    keep = [c for c in rows.columns if c not in B.BINNED_COLUMNS or c == "amount"]
-    table, _ = WindowDataBuilder(rows.select(*keep), save_features_corr=names, discretize_numerical=False).build("360m")
-    return table.select(WIN, "frauds", *names)
+    """What pruning leaves of the statistics, one row per window and column."""
+    builder = WindowDataBuilder(_without_categories(spark, d), save_features_corr=_PROTECTED, discretize_numerical=False)
+    table, _ = builder.build("10m")
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in table.columns if c not in (WIN, "frauds")]
+    return table.select(WIN, F.inline(F.array(*cells)))
 
 
 @query("fe18_feature_info", "FE18")

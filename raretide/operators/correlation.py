@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from raretide.operators.moments import sum_cells
-from raretide.operators.ranks import average_ranks, kendall_tau
+from raretide.operators.ranks import average_ranks, kendall_taus
 
 THRESHOLD = 0.75
 METHODS = ("pearson", "spearman", "kendall")
@@ -95,10 +95,9 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson")
         r = _spearman(df, columns)
     else:
         r = np.full((len(columns),) * 2, np.nan)
-        for i in range(len(columns)):
-            for j in range(i, len(columns)):
-                tau = kendall_tau(df, columns[i], columns[j])
-                r[i, j] = r[j, i] = np.nan if tau is None else tau
+        np.fill_diagonal(r, np.where(variance > 0, 1.0, np.nan))
+        for (i, j), tau in kendall_taus(df, columns).items():
+            r[i, j] = r[j, i] = np.nan if tau is None else tau
     return Correlation(tuple(columns), r, variance)
 
 

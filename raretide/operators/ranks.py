@@ -8,6 +8,8 @@ position of every value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -92,40 +94,56 @@ def ordered_values(df: DataFrame, column: str, parts: int = PARTS) -> DataFrame:
     )
 
 
-def kendall_tau(df: DataFrame, a: str, b: str) -> float | None:
-    """Kendall's tau-b over the rows where both columns are present.
+def kendall_taus(df: DataFrame, columns: Sequence[str]) -> dict[tuple[int, int], float | None]:
+    """Kendall's tau-b of every two columns, by their places, each over the rows where both are present.
 
-    Discordant pairs are counted, not listed: two ranks of ``b`` differ first in one binary digit, so for
-    each digit the rows with 1 that precede a row with 0 under the same leading digits are summed. That is
-    one running sum per digit over the distinct (a, b) cells.
+    Each column is ranked once; twice an average rank is a whole number that orders and ties as the values do.
+    Discordant pairs are counted, not listed: two ranks of the second column differ first in one binary digit, so
+    for each digit the rows with 1 that precede a row with 0 under the same leading digits are summed. That is one
+    running sum per digit over the distinct cells of a pair of columns. All pairs share one table of cells and one
+    job per kind of sum, however many columns there are.
     """
-    pairs = df.select(F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y")).dropna()
-    cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    rank_x = value_positions(cells, "x").select(F.col("value").alias("x"), F.col("before_one").alias("rx"))
-    rank_y = value_positions(cells, "y").select(F.col("value").alias("y"), F.col("before_one").alias("ry"))
-    ranked = cells.join(rank_x, "x").join(rank_y, "y").select("rx", "ry", "n").persist()
-    try:
-        def tied(*by: str) -> Column:
-            t = F.col("t").cast("double")
-            return ranked.groupBy(*by).agg(F.sum("n").alias("t")).agg(F.sum(t * (t - 1) / 2)).first()[0] or 0.0
-
-        rows, top = ranked.agg(F.sum("n"), F.max("ry")).first()
-        if not rows or rows < 2:
-            return None
-        n0, n1, n2, n3 = rows * (rows - 1) / 2, tied("rx"), tied("ry"), tied("rx", "ry")
-        if n0 == n1 or n0 == n2:
-            return None
-        levels = max(1, int(top).bit_length())
-        by_level = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-        digit = F.expr("shiftright(ry, level) & 1")
-        sums = by_level.groupBy("level", F.expr("shiftright(ry, level + 1)").alias("lead"), "rx").agg(
-            F.sum(F.when(digit == 1, F.col("n")).otherwise(0)).alias("ones"),
-            F.sum(F.when(digit == 0, F.col("n")).otherwise(0)).alias("zeros"),
-        )
-        part = F.floor(F.col("rx") / PART_ROWS)
-        before = weight_before(sums, ["level", "lead"], "rx", ["ones"], part)
-        crossed = before.agg(F.sum(F.col("zeros").cast("double") * F.col("before_ones"))).first()[0] or 0.0
-    finally:
-        ranked.unpersist()
-    concordant = n0 - n1 - n2 + n3 - crossed
-    return (concordant - crossed) / ((n0 - n1) * (n0 - n2)) ** 0.5
+    names = [f"c{i}" for i in range(len(columns))]
+    pairs = list(combinations(range(len(columns)), 2))
+    taus: dict[tuple[int, int], float | None] = dict.fromkeys(pairs)
+    if not pairs:
+        return taus
+    renamed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
+    ranked = average_ranks(renamed, names).select(*[F.round(F.col(n) * 2).cast("bigint").alias(n) for n in names])
+    both = F.array(*[
+        F.struct(F.lit(k).alias("pair"), F.col(names[i]).alias("rx"), F.col(names[j]).alias("ry")) for k, (i, j) in enumerate(pairs)
+    ])
+    present = ranked.select(F.inline(both)).where("rx is not null and ry is not null")
+    cells = stage(present.groupBy("pair", "rx", "ry").agg(F.count(F.lit(1)).alias("n")), "rank-cells")
+    top = cells.agg(F.max("ry")).first()[0]
+    if top is None:
+        return taus
+
+    def tied(kind: str, *by: str) -> DataFrame:
+        t = F.col("t").cast("double")
+        groups = cells.groupBy("pair", *by).agg(F.sum("n").alias("t"))
+        return groups.groupBy("pair").agg(F.sum(t * (t - 1) / 2).alias("value")).select("pair", F.lit(kind).alias("kind"), "value")
+
+    digits = F.sequence(F.lit(0), F.lit(int(top).bit_length() - 1))
+    by_level = cells.withColumn("level", F.explode(digits))
+    digit = F.expr("shiftright(ry, level) & 1")
+    sums = by_level.groupBy("pair", "level", F.expr("shiftright(ry, level + 1)").alias("lead"), "rx").agg(
+        F.sum(F.when(digit == 1, F.col("n")).otherwise(0)).alias("ones"),
+        F.sum(F.when(digit == 0, F.col("n")).otherwise(0)).alias("zeros"),
+    )
+    before = weight_before(sums, ["pair", "level", "lead"], "rx", ["ones"], F.floor(F.col("rx") / (2 * PART_ROWS)))
+    crossings = before.groupBy("pair").agg(F.sum(F.col("zeros").cast("double") * F.col("before_ones")).alias("value"))
+    kinds = [tied("all"), tied("x", "rx"), tied("y", "ry"), tied("both", "rx", "ry"),
+             crossings.select("pair", F.lit("crossed").alias("kind"), "value")]
+    found = {(row["pair"], row["kind"]): row["value"] for row in reduce(DataFrame.union, kinds).collect()}  # five numbers a pair
+    for k, pair in enumerate(pairs):
+        n0, n1, n2, n3, crossed = (found.get((k, kind)) or 0.0 for kind in ("all", "x", "y", "both", "crossed"))
+        if n0 > n1 and n0 > n2:
+            concordant = n0 - n1 - n2 + n3 - crossed
+            taus[pair] = (concordant - crossed) / ((n0 - n1) * (n0 - n2)) ** 0.5
+    return taus
+
+
+def kendall_tau(df: DataFrame, a: str, b: str) -> float | None:
+    """Kendall's tau-b over the rows where both columns are present."""
+    return kendall_taus(df, [a, b])[0, 1]

@@ -10,8 +10,8 @@ from raretide.catalog import QUERIES
 CROSS_SECTION = (
     "src2_read_mcc_json", "src3_read_label_object", "spl1_cut_date", "spl3_split_tables", "jn3_seen_dimensions",
     "jn4_users_and_cards_spread", "scl7_truncate", "scl10_holidays", "agg3_window_totals", "agg5_fraud_count_distribution",
-    "agg6_base_features", "agg8_cluster_mix", "agg9_bin_mix", "agg18_pearson", "agg18_spearman", "wfn1_previous_frauds",
-    "fe2_dense_series_in_chunks", "fe10_quantile_bins", "scl12_bin_lookup", "scl13_log_probabilities", "mdl3_zip_constant",
+    "agg6_base_features", "agg8_cluster_mix", "agg18_pearson", "agg18_spearman", "agg18_kendall", "fe14_pruned_columns", "wfn1_previous_frauds",
+    "fe2_dense_series_in_chunks", "scl12_bin_lookup", "scl13_log_probabilities", "mdl3_zip_constant",
     "mdl6_poisson_single", "mdl7_negative_binomial_single", "dia2_vuong", "dia9_dagostino_pearson", "dia11_durbin_watson",
     "quantiles_exact",
 )
@@ -28,7 +28,8 @@ def test_matches_sql(spark, small, name):
 
 
 @pytest.mark.parametrize("name", [
-    "fe17_builder_numeric_part",  # user columns have enough values for bins from sf0.01 on
+    # user columns have enough values for bins from sf0.01 on
+    "fe17_builder_numeric_part", "agg9_bin_mix", "fe9_uniform_bins", "fe10_quantile_bins", "fe12_intervals", "fe15_protected_columns",
     "mdl6_saturated_poisson", "mdl7_saturated_negative_binomial", "mdl8_saturated_zip", "mdl14_backward_shifts_poisson",
     "stp4_significance_gate", "stp8_shifts_history_aic",
 ])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from raretide.functions import scalars as S
 from raretide.functions.calendar import is_us_federal_holiday
-from raretide.operators import clean, joins, ordered, profile, quantiles, ranks, split, windows as W
+from raretide.operators import clean, correlation, joins, ordered, profile, quantiles, ranks, split, windows as W
 from raretide.sources import files
 
 
@@ -178,6 +178,43 @@ def test_kendall_with_ties(spark):
     assert ranks.kendall_tau(spark.createDataFrame(p), "x", "y") == pytest.approx(expected, abs=1e-12)
 
 
+def _tau(x, y):
+    both = ~(np.isnan(x) | np.isnan(y))
+    sx, sy = (np.sign(v[both][:, None] - v[both][None, :]) for v in (x, y))
+    below = np.sqrt((sx**2).sum() * (sy**2).sum())
+    return (sx * sy).sum() / below if below else np.nan
+
+
+@pytest.mark.parametrize("part_rows", [ranks.PART_ROWS, 3])
+def test_kendall_of_all_pairs_with_gaps(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ranks, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(8)
+    p = pd.DataFrame({f"a b{i}": rng.integers(0, k, 60).astype(float) for i, k in enumerate((2, 9, 40))})
+    p.iloc[::7, 1] = p.iloc[3:20, 2] = np.nan
+    p["flat"], p["none"] = 1.0, np.nan
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), ", ".join(f"`{c}` double" for c in p))
+    got = correlation.correlation(df, list(p), "kendall").r
+    for i, a in enumerate(p):
+        for j, b in enumerate(p):
+            assert got[i, j] == pytest.approx(_tau(p[a].to_numpy(), p[b].to_numpy()), abs=1e-12, nan_ok=True), (a, b)
+
+
+def test_kendall_jobs_do_not_grow_with_pairs(spark):
+    """Same number of collected results for one pair and for ten."""
+    df = spark.range(50).selectExpr(*[f"(id * {k}) % 17 as c{k}" for k in range(1, 6)])
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for n in (2, 5):
+        spark.sparkContext.setJobGroup(f"tau-{n}", "tau")
+        ranks.kendall_taus(df, [f"c{k}" for k in range(1, n + 1)])
+        jobs[n] = len(tracker.getJobIdsForGroup(f"tau-{n}"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs[5] <= jobs[2] + 2
+
+
+def test_kendall_of_an_empty_table(spark):
+    assert ranks.kendall_tau(spark.createDataFrame([], "x double, y double"), "x", "y") is None
+
+
 def test_distinct_counts_null_as_a_value(spark):
     df = spark.createDataFrame(
         [(datetime(2024, 1, 1, 1), 1, 10, 5, 1.0), (datetime(2024, 1, 1, 2), 0, None, 5, 2.0)],

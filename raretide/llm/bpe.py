@@ -31,6 +31,19 @@ _PLAIN = re.compile(
 )
 _NOT_PLAIN = re.compile("[ɐ-‏  -₫₭-\U0010ffff]")
 
+# Code points that the regex module's newer Unicode tables call letters or numbers and tiktoken's do not.
+_LATE_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F"
+)
+_LATE_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+_LATE = re.compile("[" + "".join(
+    "-".join(chr(int(end, 16)) for end in span.split("-")) for span in f"{_LATE_LETTERS} {_LATE_NUMBERS}".split()) + "]")
+_OTHER = "\ufffd"  # neither letter nor number nor white space
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -77,9 +90,11 @@ class Codec:
         self.known: dict[str, str] = {}
 
     def split(self, text: str) -> list[str]:
-        if _NOT_PLAIN.search(text):
+        if not _NOT_PLAIN.search(text):
+            return self.plain.findall(text)
+        if not _LATE.search(text):
             return self.full.findall(text)
-        return self.plain.findall(text)
+        return [text[m.start():m.end()] for m in self.full.finditer(_LATE.sub(_OTHER, text))]
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pre-tokens that are not remembered, all in one call."""

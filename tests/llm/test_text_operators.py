@@ -57,6 +57,25 @@ def test_plain_split_equals_the_full_pattern():
             assert codec.split(text) == codec.full.findall(text), repr(text)
 
 
+def test_split_of_every_code_point_is_that_of_tiktoken():
+    single = tiktoken.Encoding("bytes", pat_str=r"\p{L}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    numbers = tiktoken.Encoding("bytes", pat_str=r"\p{N}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    everything = " ".join(map(chr, points))
+    codec = bpe.Codec(bpe.read_ranks(PATH), PATTERN)
+    for encoding, sample in ((single, "a"), (numbers, "1")):
+        theirs = set(bytes(encoding.encode_ordinary(everything)).decode())
+        for c in map(chr, points):
+            if bpe._NOT_PLAIN.match(c):  # joined with the sample: one piece if both are of one class
+                assert (len(codec.split(c + sample)) == 1) == (c in theirs), hex(ord(c))
+
+
+def test_newly_assigned_letters_are_encoded_as_tiktoken_does(spark, encoding):
+    rows = [(i, text) for i, text in enumerate(["\U0001df22't", "a\ua7cea \U00010940x", " \U00012550\U00012551 12", "\u0c5c\u0c5c's \U0002b73a!"])]
+    for r in bpe.encode_decode(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, PATTERN, with_ids=True).collect():
+        assert r.token_ids == encoding.encode_ordinary(rows[r.doc_id][1])
+
+
 def test_bpe_of_an_empty_table(docs):
     assert bpe.encode_decode(docs.where("false"), PATH, PATTERN).collect() == []
 

@@ -31,13 +31,40 @@ class LanguageModel:
     log_probabilities: np.ndarray  # (buckets, languages), float32
 
 
+# Bytes of a text that are turned into n-grams at once.
+SLICE = 1 << 20
+
+
 def _grams(text: str) -> np.ndarray:
-    data = letter_bytes(text)
+    return _grams_of(letter_bytes(text))
+
+
+def _grams_of(data: bytes) -> np.ndarray:
     windows = byte_windows(data)[: max(0, len(data) - ORDER + 1)]
     windows = windows[(windows & np.uint64(0xFFFF)) != 0x2020]  # runs of blanks say nothing
     return gram_buckets(windows, ORDER, BITS)
 
 
+def gram_histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and how often each occurs: at most 2**BITS numbers, however long the text is."""
+    data = letter_bytes(text)
+    if len(data) <= SLICE:
+        return np.unique(_grams_of(data), return_counts=True)
+    counts = np.zeros(1 << BITS, np.int64)
+    for start in range(0, len(data) - ORDER + 1, SLICE):
+        counts += np.bincount(_grams_of(data[start : start + SLICE + ORDER - 1]), minlength=len(counts))
+    seen = np.flatnonzero(counts)
+    return seen, counts[seen]
+
+
+def _short_text(text: str, table: np.ndarray) -> np.ndarray:
+    """One row of log-likelihoods for a text without an n-gram: of its first ORDER - 1 bytes, whatever follows."""
+    start = b" " + b" ".join(letter_bytes(text).split())
+    start = start.ljust(ORDER - 1)[: ORDER - 1]
+    grams = np.concatenate([_grams_of(start + bytes([b])) for b in range(256)])
+    return np.log(np.exp(table[grams].astype(np.float64)).sum(axis=0))[None, :]
+
+
 def gram_counts(docs: DataFrame, text_column: str, label_column: str) -> DataFrame:
     """(label, gram, n): counts over all rows with a text and a label, summed per task before the shuffle."""
     schema = pa.schema([("label", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
@@ -82,38 +109,43 @@ def fit(docs: DataFrame, text_column: str = "text", label_column: str = "lang",
     return LanguageModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
-def mixture(ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions by expectation-maximisation, and the log-likelihood; ``ratios`` are (n-grams, languages) likelihoods."""
-    share = np.full(ratios.shape[1], 1.0 / ratios.shape[1])
+def mixture(ratios: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions by expectation-maximisation, and the log-likelihood; ``ratios`` are (n-grams, languages) likelihoods
+    of n-grams that occur ``counts`` times."""
+    share, n = np.full(ratios.shape[1], 1.0 / ratios.shape[1]), counts.sum()
     for _ in range(EM_ROUNDS):
         weighted = ratios * share
-        new = (weighted / weighted.sum(axis=1, keepdims=True)).mean(axis=0)
+        new = counts @ (weighted / weighted.sum(axis=1, keepdims=True)) / n
         moved, share = np.abs(new - share).max(), new
         if moved < EM_CHANGE:
             break
-    return share, float(np.log((ratios * share).sum(axis=1)).sum())
+    return share, float(counts @ np.log((ratios * share).sum(axis=1)))
+
+
+def penalty(n: float) -> float:
+    """What a further language must add to the log-likelihood of ``n`` n-grams."""
+    return PENALTY * np.log(max(n / ORDER, 2.0)) * ORDER
 
 
-def infer(logs: np.ndarray) -> np.ndarray:
-    """Proportions of all languages in one text, out of its (n-grams, languages) log-likelihoods.
+def infer(logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Proportions of all languages in one text, out of the (n-grams, languages) log-likelihoods and their counts.
 
     Languages join the set one by one, each time the one with the best penalised likelihood. The log-likelihood is
-    concave in the proportions: while no language has a mean likelihood ratio above one, none can add anything.
+    concave in the proportions: while no language has a mean likelihood ratio above one, none can add anything, and
+    all that have one are tried.
     """
-    n, k = logs.shape
-    totals = logs.sum(axis=0, dtype=np.float64)
+    n, k = counts.sum(), logs.shape[1]
+    totals = counts @ logs.astype(np.float64)
     chosen = [int(totals.argmax())]
     ratios = np.exp(np.minimum(logs - logs[:, chosen], 60.0).astype(np.float64))
     share, best = np.ones(1), 0.0
-    penalty = PENALTY * np.log(max(n / ORDER, 2.0)) * ORDER
     while len(chosen) < k:
         now = (ratios[:, chosen] * share).sum(axis=1)
-        gains = (ratios / now[:, None]).mean(axis=0)
+        gains = counts @ (ratios / now[:, None]) / n
         gains[chosen] = 0.0
-        candidates = [int(i) for i in np.argsort(-gains) if gains[i] > 1.0]
-        fits = [(mixture(ratios[:, [*chosen, i]]), i) for i in candidates[:3]]
+        fits = [(mixture(ratios[:, [*chosen, i]], counts), int(i)) for i in np.flatnonzero(gains > 1.0)]
         (new_share, value), i = max(fits, key=lambda f: f[0][1], default=((share, best), -1))
-        if i < 0 or value - best <= penalty:
+        if i < 0 or value - best <= penalty(n):
             break
         chosen, share, best = [*chosen, i], new_share, value
     out = np.zeros(k)
@@ -127,28 +159,30 @@ def infer(logs: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", prefix: str = "") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` behind them (their names start with ``prefix``).
 
-    ``score`` is the proportion of the predicted language (in a text of one language, its posterior weight). A text
-    that is null or has no letters gets ``und`` and 0, as does every text when the model knows no language. Rows
-    are neither dropped nor merged.
+    ``score`` is the proportion of the predicted language (in a text of one language, its posterior weight); ties go
+    to the language that comes first by name. A text that is null or has no letters gets ``und`` and 0, as does every
+    text when the model knows no language; a text of a single letter is told by the n-grams that start with it. Rows
+    are neither dropped nor merged, so repeated rows and ids come back as they are and an empty table gives none.
+    Columns of ``docs`` that have the name of a result are replaced.
     """
     languages, table = model.languages, model.log_probabilities
 
     def run(column: pa.Array) -> pa.Array:
         best, scores = [], []
         for text in column.to_pylist():
-            grams = _grams(text) if languages and text and _LETTER.search(text) else None
-            if grams is None or not len(grams):
+            if not languages or not text or not _LETTER.search(text):
                 best.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            shares = infer(table[grams])
+            grams, counts = gram_histogram(text)
+            shares = infer(table[grams], counts) if len(grams) else infer(_short_text(text, table), np.ones(1))
             k = int(shares.argmax())
             best.append(languages[k])
             scores.append(min(1.0, float(shares[k])))
         return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     guess = F.arrow_udf(run, "lang_pred string, score double")(F.col(text_column))
-    names = [c for c in docs.columns]
+    names = [c for c in docs.columns if c not in (prefix + "lang_pred", prefix + "score")]
     wide = docs.withColumn("__guess__", guess)
     return wide.select(*[F.col(f"`{c}`") for c in names], F.col("__guess__.lang_pred").alias(prefix + "lang_pred"),
                        F.col("__guess__.score").alias(prefix + "score"))

@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -39,22 +40,64 @@ def test_language_accuracy_and_odd_rows(docs):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def _shares(model, text):
+    grams, counts = language.gram_histogram(text)
+    return language.infer(model.log_probabilities[grams], counts)
+
+
+def test_one_letter_and_clashing_names(spark, docs):
+    model = language.fit(docs)
+    rows = spark.createDataFrame([(1, "a"), (2, "1 I 2"), (3, "é"), (4, "7 _ 7"), (4, "7 _ 7"), (None, "y"), (5, "x" * 9 + " ")], "doc_id bigint, text string")
+    out = language.predict(rows.withColumns({"score": F.lit("x"), "lang_pred": F.lit(0)}), model)
+    assert out.columns == ["doc_id", "text", "lang_pred", "score"]
+    got = out.collect()
+    assert len(got) == 7
+    for r in got:
+        assert (r.lang_pred, r.score) == ("und", 0.0) if r.text == "7 _ 7" else r.lang_pred in model.languages and 0 < r.score <= 1
+    assert language.predict(rows.where("false"), model).collect() == []
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    text = "Die Straße, 12 Häuser  und der Weg. " * 40
+    whole = language.gram_histogram(text)
+    for size in (5, 64, 1000):
+        monkeypatch.setattr(language, "SLICE", size)
+        assert all((a == b).all() for a, b in zip(whole, language.gram_histogram(text), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_language_set_is_the_best_of_all_sets(seed):
+    """Against the penalised likelihood of every set of languages; up to five of six languages in one text."""
+    rng, k = np.random.default_rng(seed), 6
+    table = np.log(rng.dirichlet(np.full(300, 0.05), size=k).T + 1e-6)
+    drawn = [rng.choice(300, 400, p=np.exp(table[:, i]) / np.exp(table[:, i]).sum()) for i in rng.permutation(k)[: 1 + seed % 5]]
+    grams, counts = np.unique(np.concatenate(drawn), return_counts=True)
+    logs = table[grams]
+
+    def value(members):
+        _, best = language.mixture(np.exp(logs[:, members] - logs[:, [0]]), counts)
+        return best - language.penalty(counts.sum()) * (len(members) - 1)
+
+    sets = [list(c) for size in range(1, k + 1) for c in combinations(range(k), size)]
+    assert set(np.flatnonzero(language.infer(logs, counts))) == set(max(sets, key=value)) and len(max(sets, key=value)) == len(drawn)
+
+
 def test_two_languages_in_one_text(spark, docs):
     model = language.fit(docs)
     one = {r.lang: r.text for r in docs.where("length(text) > 8000 and text not rlike '[#|!%]' and lang is not null").dropDuplicates(["lang"]).collect()}
     both = one["en"][:6000] + "\n" + one["fr"][:3000]
-    shares = language.infer(model.log_probabilities[language._grams(both)])
+    shares = _shares(model, both)
     share = dict(zip(model.languages, shares))
     assert {k for k, v in share.items() if v > 0} == {"en", "fr"}
     assert share["en"] == pytest.approx(2 / 3, abs=0.08) and sum(shares) == pytest.approx(1)
-    alone = language.infer(model.log_probabilities[language._grams(one["de"])])
+    alone = _shares(model, one["de"])
     assert (alone > 0).sum() == 1
 
 
 def test_mixture_is_the_likelihood_maximum():
     rng = np.random.default_rng(3)
     ratios = rng.gamma(1.0, size=(400, 2))
-    share, value = language.mixture(ratios)
+    share, value = language.mixture(ratios, np.ones(400))
     grid = [float(np.log(ratios @ np.array([x, 1 - x])).sum()) for x in np.linspace(0, 1, 2001)]
     assert value == pytest.approx(max(grid), abs=1e-2) and share.sum() == pytest.approx(1)
 

@@ -105,22 +105,31 @@ FROM v
 
 def license_sql() -> str:
     words = r"regexp_extract_all(lower({}), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
-    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    pairs = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
     rows = ", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(t)})" for (a, b), t in licenses.TEMPLATES.items())
+    dice = "2.0 * len(list_intersect({0}, t.b)) / (len({0}) + len(t.b))"
     return f"""
-WITH templates AS (SELECT license, wording, {pairs.format("w")} AS b
+WITH templates AS (SELECT license, wording, len(w) AS words, list_distinct({pairs.format("w")}) AS b
   FROM (SELECT *, {words.format("text")} AS w FROM (VALUES {rows}) AS v(license, wording, text))),
-cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS lines, {words.format("text")} AS w
+  FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT doc_id, unnest(range(0, len(lines))) AS line, unnest(lines) AS u FROM cut
   UNION ALL SELECT doc_id, -1, text FROM cut WHERE len(lines) > 1),
-grams AS (SELECT doc_id, line, {pairs.format("w")} AS b FROM (SELECT doc_id, line, {words.format("u")} AS w FROM units)),
-scored AS (SELECT doc_id, line, license, wording,
-    2.0 * len(list_intersect(grams.b, templates.b)) / (len(grams.b) + len(templates.b)) AS dice
-  FROM grams, templates WHERE len(grams.b) > 0 AND len(grams.b) < 1000),
+grams AS (SELECT doc_id, line, list_distinct({pairs.format("w")}) AS b FROM (SELECT doc_id, line, {words.format("u")} AS w FROM units)),
+held AS (SELECT rid, doc_id, lines, {pairs.format("w")} AS pairs FROM cut),
+places AS (SELECT rid, unnest(range(1, len(pairs) + 1)) AS p, unnest(pairs) AS bigram FROM held),
+starts AS (SELECT rid, license, wording, p FROM places JOIN (SELECT license, wording, unnest(b) AS bigram FROM templates) USING (bigram)),
+line_of AS (SELECT rid, flatten(list_transform(range(0, len(lines)),
+  lambda i: list_transform({words.format("lines[i + 1]")}, lambda x: i))) AS line_no FROM held WHERE rid IN (SELECT rid FROM starts)),
+windows AS (SELECT doc_id, line_no[p] AS line, license, wording, list_distinct(pairs[p:p + t.words - 2]) AS b
+  FROM starts JOIN templates t USING (license, wording) JOIN held USING (rid) JOIN line_of USING (rid)),
+scored AS (
+  SELECT doc_id, line, license, wording, {dice.format("g.b")} AS dice FROM grams g, templates t WHERE len(g.b) > 0
+  UNION ALL SELECT doc_id, line, license, wording, {dice.format("g.b")} FROM windows g JOIN templates t USING (license, wording)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, wording, line) AS k
   FROM scored WHERE dice >= {licenses.SIMILARITY})
-SELECT doc_id, license, wording, round(dice, 6) AS dice, line FROM ranked WHERE k = 1
+SELECT doc_id, license, wording, round(dice, 6) AS dice, line::INT AS line FROM ranked WHERE k = 1
 """
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from raretide.llm import bpe, lengths, licenses, quality
 from raretide.llm.queries import RANKS
 
 PATH, PATTERN = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")  # of licence texts
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 ODD = [
@@ -157,28 +159,62 @@ def dice(unit, template):
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
 
 
-def test_license_scan(spark):
-    mit = licenses.TEMPLATES["MIT", "text"]
-    texts = [(1, "prose here\nLicensed under the Apache License, Version 2.0.\nmore prose"), (2, "licensed UNDER the apache license version 2.0 now"),
-             (3, None), (4, ""), (5, mit.replace(". ", ".\n")), (6, "Released under the MIT License."), (6, "Licensed under CC BY-NC 4.0."),
-             (7, "under the license of the version of the software"), (None, "Released under the MIT License."), (8, "word " * 3000),
-             (9, "Released under the MIT License.\nReleased under the MIT License.")]
-    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("line", F.lit(7))
-    expected = {}
+def expected_licenses(texts):
+    """Best unit of each document and licence: lines, whole texts, and windows from every bigram of the template."""
+    found = {}
     for i, t in texts:
-        lines = (t or "").split("\n")
-        for line, unit in [*enumerate(lines), *([(-1, t)] if len(lines) > 1 else [])]:
-            for (lic, wording), template in licenses.TEMPLATES.items():
+        t = t or ""
+        lines = t.split("\n")
+        line_of = [k for k, line in enumerate(lines) for _ in WORD.findall(line.lower())]
+        w = WORD.findall(t.lower())
+        for (lic, wording), template in licenses.TEMPLATES.items():
+            tw = WORD.findall(template.lower())
+            own = set(zip(tw, tw[1:]))
+            units = [*enumerate(lines), *([(-1, t)] if len(lines) > 1 else [])]
+            units += [(line_of[p], " ".join(w[p:p + len(tw)])) for p in range(len(w) - 1) if (w[p], w[p + 1]) in own]
+            for line, unit in units:
                 d = dice(unit, template)
                 if d >= 0.8:
-                    expected[i, lic] = min(expected.get((i, lic), (0, "~", 0)), (-d, wording, line))
+                    found[i, lic] = min(found.get((i, lic), (0, "~", 0)), (-d, wording, line))
+    return found
+
+
+def check_licenses(df, texts):
+    expected = expected_licenses(texts)
     got = {(r.doc_id, r.license): (-r.dice, r.wording, r.line) for r in licenses.license_matches(df).collect()}
     assert got.keys() == expected.keys()
     for key, (d, wording, line) in expected.items():
         assert got[key][0] == pytest.approx(d) and got[key][1:] == (wording, line)
+    return got
+
+
+def test_license_scan(spark):
+    mit = licenses.TEMPLATES["MIT", "text"]
+    texts = [(1, "prose here\nLicensed under the Apache License, Version 2.0.\nmore prose"), (2, "licensed UNDER the apache license version 2.0 now"),
+             (3, None), (4, ""), (5, mit.replace(". ", ".\n")), (6, "Released under the MIT License."), (6, "Licensed under CC BY-NC 4.0."),
+             (7, "under the license of the version of the software"), (None, "Released under the MIT License."), (8, "word " * 3000),
+             (9, "Released under the MIT License.\nReleased under the MIT License."), (10, "Licensed under CC BY 4.0."), (10, "Licensed under CC BY 4.0.")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumns({c: F.lit(7) for c in ("line", "template", "pairs", "words", "dice")})
+    got = check_licenses(df, texts)
+    assert got[10, "CC-BY-4.0"][0] == -1.0  # repeated rows do not add up
     assert licenses.license_matches(df.where("false")).collect() == []
 
 
+def test_notices_inside_longer_texts(spark):
+    """Wrapped at 72 columns, in one long line, and with a few other words in between."""
+    prose = "it was a long evening by the river and the software of the version was to be read by the person in the house " * 6
+    texts, wanted = [], set()
+    for k, ((lic, wording), template) in enumerate(licenses.TEMPLATES.items()):
+        if wording != "line":
+            wrapped = "\n".join(textwrap.wrap(f"{prose} {template} {prose}", 72))
+            edited = template.replace(" of the ", " of our the ", 1).replace(" is ", " was ", 1)
+            texts += [(3 * k, wrapped), (3 * k + 1, f"{prose} {template} {prose}"), (3 * k + 2, f"{prose}\n# {edited} {prose}")]
+            wanted |= {(3 * k + e, lic) for e in range(3)}
+    got = check_licenses(spark.createDataFrame(texts, "doc_id bigint, text string"), texts)
+    assert wanted <= got.keys() and all(got[key][0] <= -0.8 for key in wanted)
+    assert check_licenses(spark.createDataFrame([(1, prose)], "doc_id bigint, text string"), [(1, prose)]) == {}
+
+
 @pytest.mark.parametrize("module", [quality, licenses])
 def test_native_modules_use_no_python_tasks(module):
     source = open(module.__file__).read()

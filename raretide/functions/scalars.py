@@ -116,3 +116,9 @@ def truncate(c: Column | str, spec: str) -> Column:
     months = (F.year(c) - 1970) * 12 + F.month(c) - 1
     first = months - F.pmod(months, F.lit(n))
     return F.add_months(F.lit("1970-01-01").cast("date"), first).cast("timestamp_ntz")
+
+
+def epoch_minute(c: Column | str) -> Column:
+    """Whole minutes since 1970 of a zone-free timestamp, from its calendar parts: independent of the session's zone."""
+    c = _col(c)
+    return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint") * 1440 + F.hour(c) * 60 + F.minute(c)

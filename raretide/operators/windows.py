@@ -56,10 +56,7 @@ def fraud_count_distribution(df: DataFrame, minutes: Sequence[int] = WINDOW_MINU
     """
     base = math.gcd(*minutes)
     fine = df.groupBy(S.truncate("date", f"{base}m").alias("t")).agg(F.sum("target").alias("frauds"))
-    # minutes since the epoch from the calendar parts: independent of the session time zone
-    day = F.datediff(F.to_date("t"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    minute = day * 1440 + F.hour("t") * 60 + F.minute("t")
-    sized = fine.select(F.explode(F.array(*[F.lit(m) for m in minutes])).alias("minutes"), minute.alias("m"), "frauds")
+    sized = fine.select(F.explode(F.array(*[F.lit(m) for m in minutes])).alias("minutes"), S.epoch_minute("t").alias("m"), "frauds")
     slot = (F.col("m") - F.pmod(F.col("m"), F.col("minutes"))).alias("slot")
     totals = sized.groupBy("minutes", slot).agg(F.sum("frauds").alias("total_frauds"))
     return totals.where(F.col("total_frauds") > 0).groupBy("minutes", "total_frauds").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from raretide.catalog.base import clean_rows, labelled_rows, query, r, raw_inputs, staged_rows
 from raretide.functions import scalars as S
-from raretide.operators import bins as B, categories as C, clean, correlation as R, counts, dense, ordered, profile
+from raretide.operators import bins as B, categories as C, clean, correlation as R, counts, dense, key_sets, ordered, profile
 from raretide.operators import quantiles as Q, ranks, windows as W
 from raretide.operators.scoring import drop_columns_with_nulls, log1p_columns, standard_scaled
 from raretide.plans.series import FraudFeatureEngineer
@@ -83,6 +83,32 @@ def _(spark, d):
     return W.base_features(W.add_window(staged_rows(spark, d, *_BASE), "360m"))
 
 
+def _sizes_sql(source, counted):
+    """``counted`` per window of all sixteen sizes."""
+    return f"""SELECT CAST(minutes AS INT) AS minutes, make_timestamp(slot * minutes * 60000000) AS date_window, {counted} FROM (
+    SELECT s.*, m.minutes, epoch_us(date) // (m.minutes * 60000000) AS slot FROM {source} s
+    CROSS JOIN (SELECT unnest({list(W.WINDOW_MINUTES)}::BIGINT[]) AS minutes) m) q GROUP BY minutes, slot"""
+
+
+@query("agg6_distinct_all_sizes", "AGG6", "AGG5", sql=_sizes_sql("clean", """
+  count(DISTINCT client_id) AS unique_clients, count(DISTINCT merchant_id) AS unique_merchants, count(DISTINCT city) AS unique_cities"""))
+def _(spark, d):
+    """Distinct clients, merchants and cities (a text key) for all window sizes, from one scan and one state."""
+    keys = {"clients": "client_id", "merchants": "merchant_id", "cities": "city"}
+    return key_sets.distinct_counts(key_sets.key_state(clean_rows(spark, d), keys), list(keys))
+
+
+@query("agg14_cards_per_client_all_sizes", "AGG14", "SCL11", sql=_sizes_sql("clean", f"""count(DISTINCT client_id) AS unique_clients,
+  count(DISTINCT card_id) AS unique_cards, {r('count(DISTINCT card_id) / greatest(count(DISTINCT client_id), 1)', 'cards_per_client')}"""))
+def _(spark, d):
+    """Two halves of the rows give two stored states; their union answers all sizes."""
+    rows = staged_rows(spark, d, "date", "id", "client_id", "card_id")
+    keys = {"clients": "client_id", "cards": "card_id"}
+    halves = [stage(key_sets.key_state(rows.where(F.col("id") % 2 == k), keys), "key-state") for k in (0, 1)]
+    found = key_sets.distinct_counts(key_sets.merge_states(*halves), list(keys))
+    return found.withColumn("cards_per_client", F.col("unique_cards") / F.greatest("unique_clients", F.lit(1)))
+
+
 _RISK = """CASE WHEN n = s THEN 100.0 ELSE least(1.0 * s / (n - s), 100.0) END"""
 
 

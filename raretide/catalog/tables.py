@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from raretide.catalog.base import clean_rows, labelled_rows, query, r, raw_inputs, staged_rows
 from raretide.functions import scalars as S
 from raretide.functions.calendar import is_us_federal_holiday
-from raretide.operators import clean, joins, profile, split, windows as W
+from raretide.operators import clean, joins, key_sets, profile, split, windows as W
 from raretide.plans import ingest
 from raretide.session import new_path
-from raretide.sources import files
+from raretide.sources import buckets, files
 from raretide.sources.tables import raw_table
 
 # -- sources and sinks -------------------------------------------------------------------------------------
@@ -284,6 +286,48 @@ def _(spark, d):
     return raw_table(spark, d, "transactions_raw").join(raw_table(spark, d, "fraud_labels"), "id", "left").select("id", "target")
 
 
+def together(frames, key, count=8):
+    """Tables bucketed under new names, in the order given."""
+    tag = uuid.uuid4().hex[:12]
+    return buckets.write_together({f"{name}_{tag}": df for name, df in frames.items()}, key, count).values()
+
+
+@query("jn2_labels_bucketed", "JN2", "SNK1", sql="SELECT t.id, l.target FROM transactions_raw t LEFT JOIN fraud_labels l ON t.id = l.id")
+def _(spark, d):
+    """Both tables stored by the hash of ``id``: the join itself shuffles nothing."""
+    raw = {name: raw_table(spark, d, name) for name in ("transactions_raw", "fraud_labels")}
+    transactions, labels = together(raw, "id")
+    return transactions.join(labels, "id", "left").select("id", "target")
+
+
+@query("jn2_frauds_filtered", "JN2", "FLT2", sql=f"""SELECT t.id, t.date, {r('t.amount', 'amount')} FROM typed t
+  JOIN fraud_labels l ON t.id = l.id WHERE l.target = 'Yes'""")
+def _(spark, d):
+    """Fraud rows alone: transactions that are no fraud go before the shuffle of the join."""
+    frauds = raw_table(spark, d, "fraud_labels").where(F.col("target") == "Yes").select("id")
+    rows = clean.type_transactions(raw_table(spark, d, "transactions_raw")).select("id", "date", "amount")
+    return key_sets.join_filtered(rows, frauds, "id")
+
+
+@query("jn3_users_filtered", "JN3", sql=f"""SELECT client_id, current_age, {r('total_debt')} FROM typed_users
+  WHERE client_id IN (SELECT client_id FROM transactions_raw WHERE merchant_id % 10 = 3)""")
+def _(spark, d):
+    """The semi-join through an exact set of the keys."""
+    rows = raw_table(spark, d, "transactions_raw").where("merchant_id % 10 = 3")
+    users = clean.type_users(raw_table(spark, d, "users"))
+    return key_sets.seen_in_filtered(users, rows, "client_id").select("client_id", "current_age", "total_debt")
+
+
+@query("jn3_users_of_cities_filtered", "JN3", sql="""SELECT city, count(*) AS n FROM (SELECT DISTINCT client_id, merchant_city AS city
+  FROM transactions_raw) WHERE city IN (SELECT merchant_city FROM transactions_raw WHERE mcc = 5003 AND amount LIKE '$-%') GROUP BY city""")
+def _(spark, d):
+    """The semi-join on a text key: a hashed filter first, then the join of what passes."""
+    rows = raw_table(spark, d, "transactions_raw")
+    clients = rows.select("client_id", F.col("merchant_city").alias("city")).distinct()
+    refunds = rows.where("mcc = 5003 AND amount LIKE '$-%'").select(F.col("merchant_city").alias("city"))
+    return key_sets.seen_in_filtered(clients, refunds, "city").groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("jn3_seen_dimensions", "JN3", sql="""SELECT 'users' AS dimension, s.split, count(*) AS n FROM users u
   JOIN (SELECT DISTINCT split, client_id FROM wide) s ON u.client_id = s.client_id GROUP BY ALL
   UNION ALL SELECT 'cards', s.split, count(*) FROM cards c
@@ -325,6 +369,16 @@ def _(spark, d):
     return rows.select("id", "client_id", "card_id", "credit_score", "per_capita_income", "has_chip", "credit_limit")
 
 
+@query("jn4_users_and_cards_bucketed", "JN4", sql=f"""SELECT id, client_id, card_id, credit_score, {r('per_capita_income')}, has_chip,
+  {r('credit_limit')} FROM wide""")
+def _(spark, d):
+    """The same join over tables stored by the hash of ``client_id``."""
+    raw = raw_inputs(spark, d)
+    frames = {"transactions": raw.transactions, "users": clean.type_users(raw.users), "cards": clean.type_cards(raw.cards)}
+    rows = split.join_dimensions(*together(frames, "client_id"))
+    return rows.select("id", "client_id", "card_id", "credit_score", "per_capita_income", "has_chip", "credit_limit")
+
+
 # -- sorts and sets ----------------------------------------------------------------------------------------
 
 @query("srt1_by_date", "SRT1", sql="SELECT id, date FROM transactions_raw ORDER BY date, id")

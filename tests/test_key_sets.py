@@ -6,8 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from raretide.operators import key_sets as K
+from conftest import SMALL
+from raretide.catalog.base import raw_inputs
+from raretide.operators import key_sets as K, split
 from raretide.operators.joins import seen_in
+from raretide.sources import buckets
 
 SCHEMA = "date timestamp_ntz, client_id bigint, shop string, ratio double"
 SIZES = (15, 30, 90, 300, 1440)
@@ -120,3 +123,33 @@ def moved(df):
             total += node.metrics().apply("shuffleRecordsWritten").value()
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return total
+
+
+def test_bucketed_joins_move_nothing(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    raw = raw_inputs(spark, SMALL)
+    frames = {"b_transactions": raw.transactions, "b_users": raw.users, "b_cards": raw.cards}
+    stored = buckets.write_together(frames, "client_id", 8)
+    labelled = buckets.write_together({"b_rows": raw.transactions, "b_labels": raw.labels}, "id", 8)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for got, plain in (
+            (split.join_dimensions(*stored.values()), split.join_dimensions(*frames.values())),
+            (labelled["b_rows"].join(labelled["b_labels"], "id", "left"), raw.transactions.join(raw.labels, "id", "left")),
+        ):
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_bucketed_nulls_empty_tables_and_replacement(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "k bigint, v int")
+    buckets.write_bucketed(df, "b_small", "k", 4)
+    again = buckets.write_bucketed(df.where("v > 1"), "b_small", ["k"], 4)
+    assert sorted(r.v for r in again.collect()) == [2, 3]
+    assert buckets.write_bucketed(df.limit(0), "b_none", "k", 4).join(again, "k").count() == 0

@@ -231,6 +231,43 @@ def test_pipeline(spark):
     assert stages["byte_bpe"](spark, near.limit(3), MEDIUM).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def odd_documents(spark):
+    """Null and repeated ids, null and empty texts, copies and near copies among them, in the columns of documents."""
+    rng = random.Random(8)
+    long = [words(rng, 80) for _ in range(6)]
+    text = [" ".join(w) for w in long]
+    near = [" ".join(w[:-1] + ["changed"]) for w in long]
+    rows = [
+        (1, text[0]), (1, text[1]), (None, text[1]),          # two texts under one id; the copy without id goes
+        (None, text[2]), (None, text[2]), (None, near[2]),    # a group without ids keeps one row
+        (5, text[3]), (5, text[3]), (4, text[3]),             # equal in id and text: one stays, under the largest id
+        (6, text[4]), (6, near[5]), (7, text[5]),             # a rejected text under the id of a kept one
+        (8, None), (9, ""), (None, ""), (None, None),
+    ]
+    columns = table(spark, SMALL, "documents").schema
+    found = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return rows, text, near, found.select(*[F.col(f.name) if f.name in ("doc_id", "text") else F.lit(None).cast(f.dataType).alias(f.name) for f in columns])
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    _, text, near, docs = odd_documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    unique = stages["exact_dedup"](spark, docs, SMALL).cache()
+    rank = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    got = sorted([(r.doc_id, r.text) for r in unique.collect()], key=rank)
+    expected = [(1, text[0]), (1, text[1]), (None, text[2]), (None, near[2]), (5, text[3]), (6, text[4]), (6, near[5]), (7, text[5]), (9, "")]
+    assert unique.columns == docs.columns and got == sorted(expected, key=rank)
+    near_kept = stages["near_dedup"](spark, unique, SMALL).cache()
+    got = [(r.doc_id, r.text) for r in near_kept.collect()]
+    assert near_kept.columns == docs.columns
+    # the near copy under id 6 goes, the other text of that id stays; of the two without ids one stays
+    assert sorted(r for r in got if r[0] is not None) == sorted(
+        [(1, text[0]), (1, text[1]), (5, text[3]), (6, text[4]), (7, text[5]), (9, "")])
+    assert [t for i, t in got if i is None] in ([text[2]], [near[2]])
+    for name in ("exact_dedup", "near_dedup"):
+        assert stages[name](spark, docs.limit(0), SMALL).count() == 0
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0

@@ -327,7 +327,7 @@ def _(spark, d):
   q AS (SELECT f, ((y - f) ** 2 - y) / f AS z FROM m), s AS (SELECT sum(f * z) AS xz, sum(f * f) AS xx, sum(z * z) AS zz, count(*) AS n FROM q)
   SELECT n, {r('xz / xx', 'slope')}, {r('xz / xx / sqrt((zz - xz * xz / xx) / (n - 1) / xx)', 't')} FROM s""")
 def _(spark, d):
-    return D.overdispersion(staged_model_rows(spark, d), Y, POISSON.mean())
+    return D.overdispersion(staged_model_rows(spark, d), Y, POISSON.mean(), POISSON.ln_mean())
 
 
 _R = f"""res AS (SELECT date_window, (1 - {_ZIP_PI}) * {_ZIP_MU} AS fitted,

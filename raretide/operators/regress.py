@@ -157,6 +157,13 @@ class Fit:
     def variance(self) -> Column:
         return self.mean() * (1 + self.mu() * (self.pi() + F.lit(self.alpha or 0.0)))
 
+    def ln_mean(self) -> Column:
+        """ln of the mean, finite also where the mean itself is beyond the range of a double."""
+        eta = self._linear("count")
+        if not self.spec.inflated:
+            return eta
+        return eta + F.log1p(-self.pi())
+
     def ln_probability(self, y: Column) -> Column:
         ln_count = (
             P.ln_negative_binomial(y, self.mu(), self.alpha)

@@ -97,5 +97,5 @@ def diagnose(df: DataFrame, y: str, fit: Fit) -> dict:
         "dagostino": D.dagostino_pearson(rows).first().asDict(),
         "breusch_pagan": D.breusch_pagan_test(rows),
         "durbin_watson": D.durbin_watson(rows).first()[0],
-        "overdispersion": D.overdispersion_test(df, y, fit.mean()),
+        "overdispersion": D.overdispersion_test(df, y, fit.mean(), fit.ln_mean()),
     }

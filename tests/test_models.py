@@ -1,6 +1,7 @@
 """Likelihood derivatives, fits on simulated counts, selection and residual tests."""
 
 import math
+from decimal import Context, Decimal, localcontext
 
 import numpy as np
 import pandas as pd
@@ -270,6 +271,25 @@ def test_prediction_from_a_coefficient_table(simulated, spark):
     assert halves["prediction_rounded"] in (2, 3)
 
 
+@pytest.mark.parametrize("top", [1.0, 45.0, 300.0])
+def test_overdispersion_where_fitted_values_are_far_above_the_counts(spark, top):
+    rows = [(top - i % 7 / 5, i * i % 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "eta double, y int")
+    with localcontext(Context(prec=400)):
+        f, y = [Decimal(eta).exp() for eta, _ in rows], [Decimal(v) for _, v in rows]
+        z = [((b - a) ** 2 - b) / a for a, b in zip(f, y)]
+        xz, xx, zz = (sum(a * b for a, b in zip(p, q)) for p, q in ((f, z), (f, f), (z, z)))
+        slope = xz / xx
+        t = slope / ((zz - slope * xz) / (len(rows) - 1) / xx).sqrt()
+    for given in ([F.exp("eta")], [F.exp("eta"), F.col("eta")]):
+        got = D.overdispersion(df, "y", *given).first()
+        assert (got["n"], got["slope"], got["t"]) == (40, pytest.approx(float(slope)), pytest.approx(float(t)))
+    beyond = df.select("y", (F.col("eta") + 3000).alias("eta"))
+    got = D.overdispersion(beyond, "y", F.exp("eta"), F.col("eta")).first()
+    assert (got["slope"], got["t"]) == (1.0, math.inf)
+    assert D.overdispersion(df.withColumn("y", F.lit(0)), "y", F.exp("eta")).first()["t"] == math.inf
+
+
 def test_scaling_helpers(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (3.0, 5.0, 1.0)], "a double, b double, c double")
     assert scoring.drop_columns_with_nulls(df).columns == ["a", "b"]

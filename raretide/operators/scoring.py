@@ -54,9 +54,12 @@ def _linear(coefficients: Sequence[Mapping], component: str, columns: Sequence[s
 
 
 def predict_from_coefficients(df: DataFrame, coefficients: Sequence[Mapping], name: str = "prediction") -> DataFrame:
-    """Expected count (1 - pi) mu and its half-even rounding, from the rows of a coefficient table."""
+    """Expected count (1 - pi) mu and its half-even rounding, from the rows of a coefficient table.
+
+    The rounding is null where it is beyond 64 bits; the expected count itself is given there too.
+    """
     exog, inf = payload(coefficients, df.columns)
     mean = F.exp(_linear(coefficients, "count", exog))
     if any(r["component"] == "classification" for r in coefficients):
         mean = (1 - logistic(_linear(coefficients, "classification", inf))) * mean
-    return df.withColumn(name, mean).withColumn(f"{name}_rounded", F.bround(name, 0).cast("bigint"))
+    return df.withColumn(name, mean).withColumn(f"{name}_rounded", F.bround(name, 0).try_cast("bigint"))

@@ -271,6 +271,15 @@ def test_prediction_from_a_coefficient_table(simulated, spark):
     assert halves["prediction_rounded"] in (2, 3)
 
 
+def test_prediction_beyond_64_bits(spark):
+    table = [{"feature": "const", "component": "count", "coefficients": 1.0}, {"feature": "x", "component": "count", "coefficients": 1.0}]
+    rows = spark.createDataFrame([(0.0,), (42.0,), (60.0,), (2000.0,)], "x double")
+    got = {r["x"]: r for r in scoring.predict_from_coefficients(rows, table).collect()}
+    assert [got[x]["prediction_rounded"] for x in (0.0, 60.0, 2000.0)] == [3, None, None]
+    assert got[42.0]["prediction_rounded"] == pytest.approx(math.exp(43))
+    assert got[60.0]["prediction"] == pytest.approx(math.exp(61)) and got[2000.0]["prediction"] == math.inf
+
+
 @pytest.mark.parametrize("top", [1.0, 45.0, 300.0])
 def test_overdispersion_where_fitted_values_are_far_above_the_counts(spark, top):
     rows = [(top - i % 7 / 5, i * i % 5) for i in range(40)]

@@ -164,6 +164,20 @@ class Fit:
             return eta
         return eta + F.log1p(-self.pi())
 
+    def pearson(self, y: Column) -> Column:
+        """(y - mean) / standard deviation; null where the variance is zero.
+
+        From eta > 0 on it is made of factors that stay in range where the mean or the variance does not: with
+        k = pi + alpha, mean / sd = sqrt((1 - pi) / (exp(-eta) + k)).
+        """
+        eta = self._linear("count")
+        plain = F.try_divide(y - self.mean(), F.sqrt(self.variance()))
+        if not self.spec.inflated and not self.alpha:
+            return F.when(eta > 0, y * F.exp(-eta / 2) - F.exp(eta / 2)).otherwise(plain)
+        stay, spread = 1 - self.pi(), F.exp(-eta) + self.pi() + F.lit(self.alpha or 0.0)
+        large = F.try_divide(y * F.exp(-eta), F.sqrt(stay * spread)) - F.sqrt(F.try_divide(stay, spread))
+        return F.when(eta > 0, large).otherwise(plain)
+
     def ln_probability(self, y: Column) -> Column:
         ln_count = (
             P.ln_negative_binomial(y, self.mu(), self.alpha)

@@ -1,6 +1,7 @@
 """Likelihood derivatives, fits on simulated counts, selection and residual tests."""
 
 import math
+from datetime import datetime
 from decimal import Context, Decimal, localcontext
 
 import numpy as np
@@ -299,6 +300,35 @@ def test_overdispersion_where_fitted_values_are_far_above_the_counts(spark, top)
     assert D.overdispersion(df.withColumn("y", F.lit(0)), "y", F.exp("eta")).first()["t"] == math.inf
 
 
+@pytest.mark.parametrize("family,alpha", [("poisson", None), ("negbin", 0.7), ("zip", None)])
+@pytest.mark.parametrize("top", [-2.0, 300.0, 580.0, 1200.0])
+def test_residuals_where_means_are_far_above_the_counts(spark, family, alpha, top):
+    inflation = (0.4, -0.9) if family == "zip" else ()
+    spec = G.Spec(family, ("x",), ("z",) if inflation else (), alpha=alpha)
+    fit = G.Fit(spec, np.array([*inflation, 0.0, 1.0]), np.eye(2), 0.0, 1.0, True, 0, np.zeros(2), np.eye(2))
+    rows = [(datetime(2024, 1, 1, i), top - i % 7 / 5, i % 3 / 2, i * i % 5) for i in range(24)]
+    df = spark.createDataFrame(rows, "date_window timestamp_ntz, x double, z double, y int")
+    expected = []
+    with localcontext(Context(prec=60)):
+        for _, x, z, y in rows:
+            mu = Decimal(x).exp()
+            pi = 1 / (1 + (-Decimal(0.4) + Decimal(0.9) * Decimal(z)).exp()) if inflation else Decimal(0)
+            mean = (1 - pi) * mu
+            expected.append((y - mean) / (mean * (1 + mu * (pi + Decimal(alpha or 0)))).sqrt())
+        statistic = sum((b - a) ** 2 for a, b in zip(expected, expected[1:])) / sum(e * e for e in expected)
+    residuals = D.residuals(df, "y", fit)
+    got = [r["resid_pearson"] for r in residuals.orderBy("date_window").collect()]
+    np.testing.assert_allclose(got, [float(e) for e in expected], rtol=1e-9)
+    if family == "poisson" and top > 700:  # the squares of the residuals themselves are beyond the range
+        return
+    assert D.durbin_watson(residuals).first()[0] == pytest.approx(float(statistic), abs=1e-12)
+
+
+def test_durbin_watson_of_no_residuals_at_all(spark):
+    rows = spark.createDataFrame([(datetime(2024, 1, d), 0.0) for d in (1, 2, 3)], "date_window timestamp_ntz, resid_pearson double")
+    assert D.durbin_watson(rows).first()[0] is None
+
+
 def test_scaling_helpers(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (3.0, 5.0, 1.0)], "a double, b double, c double")
     assert scoring.drop_columns_with_nulls(df).columns == ["a", "b"]

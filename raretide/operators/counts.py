@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raretide.functions.probability import ln_poisson
-from raretide.operators.regress import Fit, Spec, count_table, fit_models, null_key
+from raretide.operators.regress import Fit, Spec, count_table, fit_models, in_few_tasks, null_key
 
 # Report names of the four families.
 BASELINES = {
@@ -117,7 +117,7 @@ class BaselineCoutingModel:
     def _fit(self, names) -> dict[str, Fit]:
         counts = count_table(self.df, self.y).persist()
         try:
-            fits = fit_models(counts, "y", [BASELINES[n] for n in names], weight="n")
+            fits = fit_models(in_few_tasks(counts), "y", [BASELINES[n] for n in names], weight="n")
         finally:
             counts.unpersist()
         nulls = {null_key(f.spec): f.llf for f in fits if f is not None}

@@ -26,6 +26,8 @@ _WITHOUT_DISPERSION = {"zinb": "zip", "negbin": "poisson"}
 DIVERGED, STALLED = 200.0, 5
 DECREMENT = 1e-16
 MAX_ROUNDS = 200
+# Distinct counts that one task sums up in a pass over a table of counts.
+COUNTS_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -431,12 +433,21 @@ def count_table(df: DataFrame, y: str) -> DataFrame:
     return df.groupBy(F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
+def in_few_tasks(counts: DataFrame) -> DataFrame:
+    """A persisted count table in as many partitions as its rows need.
+
+    Behind its group-by it has one per shuffle partition, most of them empty, and every pass would start a Python task
+    for each of them.
+    """
+    return counts.coalesce(max(1, -(-counts.count() // COUNTS_PER_TASK)))
+
+
 def null_log_likelihoods(df: DataFrame, y: str, specs: Sequence[Spec]) -> dict[str, float]:
     """Constant-only log-likelihood per family. An inflated family at its boundary has that of its count part."""
     wanted = {null_key(s): Spec(s.family, alpha=s.alpha, link=s.link) for s in specs}
     counts = count_table(df, y).persist()
     try:
-        fits = fit_models(counts, "y", list(wanted.values()), weight="n")
+        fits = fit_models(in_few_tasks(counts), "y", list(wanted.values()), weight="n")
     finally:
         counts.unpersist()
     return {key: f.llf for key, f in zip(wanted, fits) if f is not None}

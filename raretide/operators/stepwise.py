@@ -199,12 +199,12 @@ class StepwiseZeroInflated:
 
     def fit_baseline(self, df: DataFrame, y: str) -> Fit | None:
         """Constants only, from the histogram of ``y``; not graded."""
-        from raretide.operators.regress import count_table
+        from raretide.operators.regress import count_table, in_few_tasks
 
         spec = self._spec((), ())
         counts = count_table(df, y).persist()
         try:
-            f = fit_models(counts, "y", [spec], weight="n")[0]
+            f = fit_models(in_few_tasks(counts), "y", [spec], weight="n")[0]
         finally:
             counts.unpersist()
         return None if f is None else replace(f, llnull=f.llf)

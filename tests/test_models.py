@@ -272,6 +272,21 @@ def test_prediction_from_a_coefficient_table(simulated, spark):
     assert halves["prediction_rounded"] in (2, 3)
 
 
+def test_passes_over_a_small_count_table_have_one_task(simulated, monkeypatch):
+    tasks = []
+    monkeypatch.setattr(G, "sum_cells", lambda df, of_block, partitions: tasks.append(partitions) or sum_cells(df, of_block, partitions))
+    G.null_log_likelihoods(simulated, "zip", [G.Spec("zip")])
+    S.StepwiseZeroInflated().fit_baseline(simulated, "zip")
+    counts.BaselineCoutingModel(simulated, "60m", "zip").train_zip()
+    assert len(tasks) > 3 and set(tasks) == {1}
+
+
+def test_count_tables_of_many_values_keep_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "COUNTS_PER_TASK", 50)
+    table = G.count_table(spark.range(190).repartition(4), "id").persist()
+    assert G.in_few_tasks(table).rdd.getNumPartitions() == 4 and G.in_few_tasks(table).count() == 190
+
+
 def test_prediction_beyond_64_bits(spark):
     table = [{"feature": "const", "component": "count", "coefficients": 1.0}, {"feature": "x", "component": "count", "coefficients": 1.0}]
     rows = spark.createDataFrame([(0.0,), (42.0,), (60.0,), (2000.0,)], "x double")

@@ -80,7 +80,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: lis
 
 
 def posteriors(docs: DataFrame, model: DomainModel, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``__mix``: a struct of ``n_tokens`` (words) and ``p`` (the posterior, in grid units that sum to GRID)."""
+    """``docs`` with ``__mix``: a struct of ``n_tokens`` (words) and ``p`` (the posterior, in grid units that sum to GRID).
+
+    The function is marked as not deterministic, though it is: else Spark moves a later filter on the result in front of it
+    and computes every posterior twice, in two Python processes of each task.
+    """
 
     def run(column: pa.Array) -> pa.Array:
         tokens, cells = [], []
@@ -98,7 +102,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text_column: str = "text") -
             cells.append(low.tolist())
         return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], ["n_tokens", "p"])
 
-    return docs.withColumn("__mix", F.arrow_udf(run, "n_tokens bigint, p array<int>")(F.col(text_column)))
+    return docs.withColumn("__mix", F.arrow_udf(run, "n_tokens bigint, p array<int>").asNondeterministic()(F.col(text_column)))
 
 
 def rates_of(p: Column, steps: list[list[float]]) -> Column:

@@ -170,3 +170,9 @@ def test_rates_are_the_projected_optimum(spark):
 
 def test_mix_of_an_empty_table(spark, docs):
     assert mixing.mix(docs.where("false"), table(spark, MEDIUM, "labels"), F.expr(DOMAIN_SQL), WEIGHTS, anchor="good").collect() == []
+
+
+def test_a_filter_on_the_copies_computes_no_posterior_twice(spark, docs):
+    mixed = mixing.mix(docs, table(spark, MEDIUM, "labels"), F.expr(DOMAIN_SQL), WEIGHTS, tokens=100_000.0)
+    plan = mixed.where("__copies > 0").select("doc_id", "__copies")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
